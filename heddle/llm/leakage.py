@@ -203,7 +203,7 @@ def find_in_batches(items: Items, least_words: int, least_similarity: float, lea
     return run
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, *, width: int = 8, least_words: int = 10, least_similarity: float = 0.4, least_rare: int = 2, block: int = 5_000) -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, *, width: int = 8, least_words: int = 10, least_similarity: float = 0.55, least_rare: int = 2, block: int = 5_000) -> DataFrame:
     """``(doc_id, item_id, n_words, similarity)`` for every document that holds material of an item's passage or question.
 
     A stretch counts if it shares ``least_words`` words in order, among them ``least_rare`` that few test texts have, and the
