@@ -502,8 +502,8 @@ def time_filtered_retrieval(s, d):
     return retrieval.top_k(near, ["video_id", "q"], 4, "doc").select("q", "doc", "score", "rank")
 
 
-@query(f"""WITH {ARCHIVE}, gold AS (SELECT video_id, q, max(doc) AS doc FROM sc GROUP BY 1, 2), h AS (SELECT video_id, q, min(CASE WHEN gold.doc IS NOT NULL THEN rank END) AS best, count(*) AS n, count(gold.doc) AS both FROM (SELECT * FROM rk WHERE rank <= 4) LEFT JOIN gold USING (video_id, q, doc) GROUP BY 1, 2)
-SELECT count(*)::BIGINT AS n_queries, round(avg(coalesce((best <= 4)::INT, 0)), 6) AS hit, round(avg(coalesce(1.0::DOUBLE / best, 0)), 6) AS mrr, round(avg(both::DOUBLE / (n + 1 - both)), 6) AS iou FROM h""")
+@query(f"""WITH {ARCHIVE}, gold AS (SELECT video_id, q, max(doc) AS doc FROM sc GROUP BY 1, 2), h AS (SELECT video_id, q, min(CASE WHEN gold.doc IS NOT NULL THEN rank END) AS best, count(*) AS n, count(gold.doc) AS n_both FROM (SELECT * FROM rk WHERE rank <= 4) LEFT JOIN gold USING (video_id, q, doc) GROUP BY 1, 2)
+SELECT count(*)::BIGINT AS n_queries, round(avg(coalesce((best <= 4)::INT, 0)), 6) AS hit, round(avg(coalesce(1.0::DOUBLE / best, 0)), 6) AS mrr, round(avg(n_both::DOUBLE / (n + 1 - n_both)), 6) AS iou FROM h""")
 def retrieval_metrics(s, d):
     q, a, _ = _archive(s, d)
     scores = retrieval.overlap_scores(q, a, _ARCHIVE)
