@@ -8,6 +8,7 @@ open structure, remains of a transfer, final punctuation, and whether replies of
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -37,36 +38,55 @@ def form(body: Column) -> Column:
     )
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``value``, with ``value`` computed once however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def open_structure(body: Column) -> Column:
     """True where brackets, a string or a code fence are left open."""
-    bare = F.regexp_replace(body, "```[a-z]*", "")
-    plain = F.regexp_replace(bare, STRING, "")
-    n = lambda chars: F.length(F.regexp_replace(plain, f"[^{chars}]", ""))
-    fences = F.regexp_count(body, F.lit("```"))
-    return (n(r"\{\[") > n(r"\}\]")) | plain.contains('"') | (fences % 2 == 1)
+    plain = F.regexp_replace(F.regexp_replace(body, "```[a-z]*", ""), STRING, "")
+
+    def left(x: Column) -> Column:
+        return (F.regexp_count(x, F.lit(r"[\{\[]")) > F.regexp_count(x, F.lit(r"[\}\]]"))) | x.contains('"')
+
+    return bound(plain, left) | (F.regexp_count(body, F.lit("```")) % 2 == 1)
+
+
+def evidence_of(text: Column) -> Column:
+    """What the ending of ``text`` shows, as a struct."""
+
+    def of_body(end: Column, body: Column) -> Column:
+        kind = form(F.regexp_replace(body, rf"^{BLANK}+", ""))
+        line = F.regexp_extract(body, r"([^\n]*)$", 1)
+
+        def of_kind(k: Column) -> Column:
+            def key(x: Column) -> Column:
+                label, value = (F.regexp_extract(x, r"^([A-Za-z_ ]{1,24}?)\s*(?:->|[:=])\s*(.*)$", i) for i in (1, 2))
+                segment = F.element_at(F.split(x, r"(?<=[.!?。！？])\s+"), -1)
+                return F.when(k == "fields", F.concat_ws("|", label, value)).otherwise(F.regexp_replace(F.lower(segment), r"\d+", "#"))
+
+            return F.struct(
+                k.alias("form"),
+                (F.length(end) > F.length(body)).alias("leftover"),
+                ((k == "json") & open_structure(body)).alias("open"),
+                body.rlike(TERMINAL).alias("ended"),
+                F.substring(bound(line, key), 1, 200).alias("ending"),  # longer endings are never usual
+            )
+
+        return bound(kind, of_kind)
+
+    def of_end(end: Column) -> Column:
+        return bound(F.regexp_replace(F.regexp_replace(end, REMAINS, ""), rf"{BLANK}+$", ""), lambda body: of_body(end, body))
+
+    return bound(F.regexp_replace(text, rf"{BLANK}+$", ""), of_end)
 
 
 def replies(evidence: DataFrame, text: str = "_raw") -> DataFrame:
     """One row per distinct text of a reply, with what its ending shows. Null and blank texts are no replies."""
-    rows = evidence.select("video_id", "chunk_idx", "attempt", F.col(text).alias("t")).where(F.length(F.regexp_replace("t", f"{BLANK}+", "")) > 0).distinct()
-    end = F.regexp_replace("t", rf"{BLANK}+$", "")
-    rows = rows.withColumn("end", end).withColumn("body", F.regexp_replace(F.regexp_replace("end", REMAINS, ""), rf"{BLANK}+$", ""))
-    kind = form(F.regexp_replace("body", rf"^{BLANK}+", ""))
-    line = F.regexp_extract("body", r"([^\n]*)$", 1)
-    label, value = (F.regexp_extract(line, r"^([A-Za-z_ ]{1,24}?)\s*(?:->|[:=])\s*(.*)$", i) for i in (1, 2))
-    segment = F.element_at(F.split(line, r"(?<=[.!?。！？])\s+"), -1)
-    ending = F.when(F.col("form") == "fields", F.concat_ws("|", label, value)).otherwise(F.regexp_replace(F.lower(segment), r"\d+", "#"))
-    return rows.withColumn("form", kind).select(
-        "video_id",
-        "chunk_idx",
-        "attempt",
-        F.length("t").alias("n"),
-        "form",
-        (F.length("end") > F.length("body")).alias("leftover"),
-        ((F.col("form") == "json") & open_structure(F.col("body"))).alias("open"),
-        F.col("body").rlike(TERMINAL).alias("ended"),
-        F.substring(ending, 1, 200).alias("ending"),  # longer endings are never usual
-    )
+    rows = evidence.select("video_id", "chunk_idx", "attempt", F.col(text).alias("t")).where(F.coalesce(F.col("t").rlike(rf"[^{BLANK[1:-1]}]"), F.lit(False)))
+    seen = rows.select("video_id", "chunk_idx", "attempt", F.length("t").alias("n"), F.xxhash64("t").alias("h"), evidence_of(F.col("t")).alias("e"))
+    return seen.distinct().select("video_id", "chunk_idx", "attempt", "n", "e.*")
 
 
 def fit_censored(lengths: np.ndarray, counts: np.ndarray, cut_counts: np.ndarray, *, rounds: int = 60) -> tuple[float, float]:
