@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -57,7 +57,7 @@ def plain(text: str) -> str:
 class Words:
     """Turns texts into words; masked, joined and digit-spelled words are resolved by the words of the training texts."""
 
-    def __init__(self, common: Counter) -> None:
+    def __init__(self, common: Mapping[str, int]) -> None:
         self.count = {w: n for w, n in common.items() if n >= 2}
         self.by_length: dict[int, list] = {}
         for w in sorted(self.count, key=lambda w: -self.count[w]):
