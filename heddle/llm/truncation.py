@@ -58,7 +58,7 @@ def evidence_of(text: Column) -> Column:
 
     def of_body(end: Column, body: Column) -> Column:
         kind = form(F.regexp_replace(body, rf"^{BLANK}+", ""))
-        line = F.regexp_extract(body, r"([^\n]*)$", 1)
+        line = F.substring_index(body, "\n", -1)
 
         def of_kind(k: Column) -> Column:
             def key(x: Column) -> Column:
