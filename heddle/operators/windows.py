@@ -106,3 +106,28 @@ def open_intervals(df: DataFrame, keys: list[str], start: str, end: str) -> Data
     events = df.select(*keys, F.col(start).alias("at"), F.lit(1).alias("d")).unionByName(df.select(*keys, F.col(end).alias("at"), F.lit(-1).alias("d")))
     steps = events.where("at is not null").groupBy(*keys, "at").agg(F.sum("d").alias("d"))
     return steps.select(*keys, "at", F.sum("d").over(Window.partitionBy(*keys).orderBy("at")).alias("n_open"))
+
+
+def quiet_share(df: DataFrame, keys: list[str], at: str, is_ask: Column, radius: int) -> DataFrame:
+    """The share of a timeline's positions, first to last, that lie farther than ``radius`` from any ask.
+
+    Each ask covers what the one before has not, so the covered stretches are summed without listing positions.
+    """
+    span = df.groupBy(*keys).agg(F.min(at).alias("_a"), F.max(at).alias("_b"))
+    asks = df.where(is_ask).select(*keys, at).distinct().join(span, keys)
+    w = Window.partitionBy(*keys).orderBy(at)
+    start = F.greatest(F.col("_a"), F.col(at) - radius, F.coalesce(F.lag(at).over(w) + radius + 1, F.col("_a")))
+    covered = asks.withColumn("_c", F.greatest(F.lit(0), F.least(F.col("_b"), F.col(at) + radius) - start + 1)).groupBy(*keys).agg(F.sum("_c").alias("_c"))
+    n = F.col("_b") - F.col("_a") + 1
+    return span.join(covered, keys, "left").select(*keys, ((n - F.coalesce("_c", F.lit(0))) / n).alias("quiet"))
+
+
+def roles(df: DataFrame, keys: list[str], at: str, spreads: dict[str, tuple[Column, int, int]]) -> DataFrame:
+    """``keys, at, role``: each marked row gives its role to the positions from ``before`` to ``after`` it.
+
+    ``spreads`` is ``{role: (mark, before, after)}`` in order of priority; the foremost role of a position wins.
+    """
+    marked = [F.when(m, F.struct(F.lit(i).alias("p"), F.lit(r).alias("role"), F.lit(-b).alias("lo"), F.lit(a).alias("hi"))) for i, (r, (m, b, a)) in enumerate(spreads.items())]
+    rows = df.select(*keys, at, F.inline(F.array_compact(F.array(*marked))))
+    wide = rows.select(*keys, F.explode(F.sequence(F.col(at) + F.col("lo"), F.col(at) + F.col("hi"))).alias(at), "p", "role")
+    return wide.groupBy(*keys, at).agg(F.min_by("role", "p").alias("role"))

@@ -407,6 +407,19 @@ def timing_reward(s, d):
     return _answered(s, d).groupBy("user_id").agg(F.count("*").alias("n"), r6(F.avg(r)).alias("reward"))
 
 
+@query(f"""WITH {TIMELINE}, s AS (SELECT user_id, min(chunk) AS a, max(chunk) AS b FROM tl GROUP BY 1), c AS (SELECT s.user_id, unnest(range(a, b + 1)) AS c FROM s), q AS (SELECT DISTINCT user_id, unnest(range(chunk - 6, chunk + 7)) AS c FROM tl WHERE event_type = 'signup')
+SELECT c.user_id, round(count(*) FILTER (WHERE q.c IS NULL)::DOUBLE / count(*), 6) AS quiet FROM c LEFT JOIN q ON q.user_id = c.user_id AND q.c = c.c GROUP BY 1""")
+def silent_fraction(s, d):
+    return windows.quiet_share(_timeline(s, d), ["user_id"], "chunk", F.col("event_type") == "signup", 6).withColumn("quiet", r6("quiet"))
+
+
+@query(f"""WITH {TIMELINE}, w AS (SELECT user_id, unnest(range(chunk - 1, chunk + 2)) AS chunk, 0 AS p, 'evidence' AS role FROM tl WHERE event_type = 'purchase' UNION ALL SELECT user_id, unnest(range(chunk - 2, chunk + 1)), 1, 'before_ask' FROM tl WHERE event_type = 'signup'
+UNION ALL SELECT user_id, unnest(range(chunk, chunk + 3)), 2, 'patrol' FROM tl WHERE event_type = 'error') SELECT user_id, chunk, arg_min(role, p) AS role FROM w GROUP BY 1, 2""")
+def role_priority(s, d):
+    e = F.col("event_type")
+    return windows.roles(_timeline(s, d), ["user_id"], "chunk", {"evidence": (e == "purchase", 1, 1), "before_ask": (e == "signup", 2, 0), "patrol": (e == "error", 0, 2)})
+
+
 # Normalised values and report figures
 
 
