@@ -2,7 +2,8 @@
 
 Per source a log-normal length distribution is fitted by maximum likelihood, with the surplus at candidate limits taken as
 right-censored. Each value's censoring posterior at its length is then combined, as log-odds, with evidence from its ending:
-open structure, remains of a transfer, final punctuation, and whether replies of its form usually end like this.
+open structure, remains of a transfer, final punctuation, and whether replies of its form usually end like this. Where the
+ending shows nothing (a mark that also stands inside sentences), the posterior decides; clear endings outweigh it.
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ from heddle.session import stage
 #: What a broken transfer or a cutting program leaves at the end.
 REMAINS = r"(?:…|\.\.\.|</?[A-Za-z]*|\\u?[0-9a-fA-F]{0,3}|�+|\[\.\.\.\]|\[…\]|\[(?:cut|truncated|more)\]|\(truncated\))$"
 TERMINAL = r"[.!?。！？][\"'”’)\]]*$|[)\]}`]$"
+#: Final marks that stand inside sentences too: a bracket or tick alone, a dot after a number, letter or abbreviation.
+WEAK_MARK = r"(?<![.!?。！？][\"'”’]{0,3})[)\]}`]$|(?:(?<![\p{L}\p{N}])(?:\p{L}|(?i:e\.g|i\.e|approx|ca|cf|dr|mr|mrs|ms|fig|no|nr|vs|st))|\d)\.$"
 STRING = r'"(?:[^"\\]++|\\.)*+"'
 
-#: Weights of the evidence, in natural log-odds.
-OPEN, CLOSED, LEFTOVER, USUAL, ENDED, UNENDED = 6.0, -6.0, 10.0, -6.0, -6.0, 5.0
+#: Weights of the evidence, in natural log-odds. The prior lies in [-3.5, 3.9], so it decides at WEAK and only there.
+OPEN, CLOSED, LEFTOVER, USUAL, ENDED, WEAK, UNENDED = 6.0, -6.0, 10.0, -6.0, -6.0, 0.0, 5.0
 
 
 def form(body: Column) -> Column:
@@ -71,6 +74,7 @@ def evidence_of(text: Column) -> Column:
                 (F.length(end) > F.length(body)).alias("leftover"),
                 ((k == "json") & open_structure(body)).alias("open"),
                 body.rlike(TERMINAL).alias("ended"),
+                F.right(body, F.lit(16)).rlike(WEAK_MARK).alias("weak"),
                 F.substring(bound(line, key), 1, 200).alias("ending"),  # longer endings are never usual
             )
 
@@ -152,7 +156,7 @@ def judge(evidence: DataFrame, registry: DataFrame, *, usual_share: float = 0.00
     usual = ends.join(F.broadcast(sums), "form").where((F.col("c") >= least) & whole).select("form", "ending", F.lit(True).alias("usual"))  # sums: 4 forms
     prior = F.coalesce("posterior", F.lit(base_rate))
     clipped = F.least(F.greatest(prior, F.lit(base_rate)), F.lit(0.98))
-    ending = F.when(F.col("usual"), USUAL).when(F.col("ended"), ENDED).otherwise(UNENDED)
+    ending = F.when(F.col("usual"), USUAL).when(F.col("ended") & F.col("weak"), WEAK).when(F.col("ended"), ENDED).otherwise(UNENDED)
     shape = F.when(F.col("open"), OPEN).when((F.col("form") == "json"), CLOSED).otherwise(ending)
     left = F.when(F.col("leftover"), LEFTOVER).otherwise(0.0)
     scored = (

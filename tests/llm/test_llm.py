@@ -109,6 +109,18 @@ def test_truncation(spark):
     assert truncation.truncated_replies(empty, reg).count() == 0
 
 
+def test_posterior_decides_where_the_ending_shows_nothing(spark):
+    rng = random.Random(7)
+    body = lambda k: " ".join(rng.choice(["the cook", "folds a map", "near it", "lifts one", "then waits"]) for _ in range(k))
+    rows = [("a", i, 0, body(rng.randint(20, 60)) + ". Done!", "x", 1) for i in range(300)]
+    rows += [("a", 1000 + i, 0, body(60)[:240], "x", 1) for i in range(60)]
+    for k, end in enumerate([" the map (left)", " fig.", " about 3.", " is over."]):
+        rows += [("a", 2000 + 2 * k + j, 0, body(60)[: n - len(end)] + end, "x", 1) for j, n in enumerate((240, 777))]
+    reg = spark.createDataFrame([("a", "cook")], "video_id string, dataset string")
+    got = {r.chunk_idx: (r.posterior > 0.9, r.truncated) for r in truncation.judge(spark.createDataFrame(rows, EVIDENCE), reg)[0].where("chunk_idx >= 2000").collect()}
+    assert got == {2000 + 2 * k + j: (j == 0, j == 0 and k < 3) for k in range(4) for j in (0, 1)}
+
+
 def test_censored_fit_recovers_the_distribution():
     x = np.round(np.exp(np.random.default_rng(3).normal(5, 0.5, 50_000)))
     cut = x > 200
