@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,6 +64,50 @@ def nearest_of(queries: DataFrame, rows: DataFrame, group: str, item: str, vecto
     return found.groupBy("q").agg(F.max(F.struct("sim", (-F.col(item)).alias("i"))).alias("m")).select(F.col("q").alias(item), (-F.col("m.i")).alias("partner"), F.col("m.sim").alias("sim"))
 
 
+def _best_of_blocks(item: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The function for ``applyInPandas``: each row of block ``_a`` with the most similar row of ``_b``, and the other way round."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(item)  # the first of equals is the least id
+        a, b = p[p["_block"] == p["_a"]], p[p["_block"] == p["_b"]]
+        if a.empty or b.empty:
+            return pd.DataFrame({"item": p[item][:0], "partner": p[item][:0], "sim": pd.Series(dtype=float)})
+
+        def unit(rows: pd.DataFrame) -> np.ndarray:
+            v = np.stack(rows["_v"].to_numpy()).astype(np.float64)
+            norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+            return np.where(norm < 1e-8, 0.0, v / np.maximum(norm, 1e-8))
+
+        left, right = a[item].to_numpy(), b[item].to_numpy()
+        sims = np.round(unit(a) @ unit(b).T, 6)
+        sims[left[:, None] == right[None, :]] = -np.inf  # a row is no partner of itself
+        j, i = sims.argmax(axis=1), sims.argmax(axis=0)
+        out = pd.DataFrame({"item": left, "partner": right[j], "sim": sims[np.arange(len(left)), j]})
+        if p["_a"].iloc[0] != p["_b"].iloc[0]:
+            out = pd.concat([out, pd.DataFrame({"item": right, "partner": left[i], "sim": sims[i, np.arange(len(right))]})])
+        return out[out["sim"] > 0]
+
+    return run
+
+
+def near_marks(rows: DataFrame, group: str, item: str, vector: str, least: float, *, block: int = 1000) -> DataFrame:
+    """Every row with its most similar other row of its group by cosine: ``item, partner, sim, near_dup``.
+
+    ``near_dup`` holds over similarity ``least``; ties go to the lesser id. Without a similarity over 0, a group or a vector
+    the partner is null and ``sim`` 0. Groups are hashed into blocks of about ``block`` rows and each pair of blocks is one
+    product of matrices, so no pair is left out and a task holds two blocks; the work grows with the square of a group.
+    """
+    some = rows.where(F.col(group).isNotNull() & F.col(vector).isNotNull()).select(item, group, F.col(vector).alias("_v"))
+    blocks = some.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
+    placed = some.join(blocks, group).withColumn("_block", F.pmod(F.xxhash64(item), "_n").cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    met = placed.select(item, group, "_v", "_block", F.least("_block", "_o").alias("_a"), F.greatest("_block", "_o").alias("_b"))
+    kind = rows.schema[item].dataType.simpleString()
+    best = met.groupBy(group, "_a", "_b").applyInPandas(_best_of_blocks(item), f"item {kind}, partner {kind}, sim double")
+    first = best.groupBy(F.col("item").alias(item)).agg(F.min(F.struct((-F.col("sim")).alias("s"), "partner")).alias("m"))
+    out = rows.select(item).join(first, item, "left").select(item, F.col("m.partner").alias("partner"), F.coalesce(-F.col("m.s"), F.lit(0.0)).alias("sim"))
+    return out.withColumn("near_dup", F.col("partner").isNotNull() & (F.col("sim") > least))
+
+
 _TESTS = {
     "min": lambda c, v: F.coalesce(c >= v, F.lit(False)),
     "lower": lambda c, v: F.coalesce(F.lower(F.trim(c)) == v.lower(), F.lit(False)),

@@ -141,6 +141,13 @@ def visual_nearest(s, d):
     return audit.nearest_of(e.where("vec_id % 50 = 0"), e, "label", "vec_id", "embedding")
 
 
+@query("""WITH p AS (SELECT q.vec_id, e.vec_id AS partner, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))), 6) AS sim
+FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id), b AS (SELECT * FROM p WHERE sim > 0 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, partner) = 1)
+SELECT vec_id, partner, coalesce(sim, 0)::DOUBLE AS sim, coalesce(sim > 0.3, false) AS near_dup FROM embeddings LEFT JOIN b USING (vec_id)""")
+def visual_near_dup(s, d):
+    return audit.near_marks(t(s, d, "embeddings", "vec_id", "label", "embedding"), "label", "vec_id", "embedding", 0.3)
+
+
 @query("""SELECT doc_id, CASE WHEN n_chars >= 500 AND lower(trim(lang)) = 'en' OR doc_kind IN ('cards', 'notes') AND n_chars >= 100 THEN 'A' WHEN n_chars >= 60 THEN 'B' ELSE 'C' END AS level FROM documents""")
 def usability_levels(s, d):
     rules = {"A": [{"n_chars__min": 500, "lang__lower": "en"}, {"doc_kind__in": ["cards", "notes"], "n_chars__min": 100}], "B": [{"n_chars__min": 60}]}

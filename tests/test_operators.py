@@ -1,9 +1,13 @@
 """Operators on small literal tables."""
 
+import math
+import random
+
 from pyspark.sql import functions as F
 
 from heddle.functions import stats, text
 from heddle.operators import audit, evaluate, sampling, windows
+from heddle.plans import catalogue
 from heddle.sources import files
 from heddle.streaming import memory
 
@@ -55,6 +59,33 @@ def test_group_ids_of_nulls_are_their_own(spark):
     assert out[1] == out[2] and out[1][1] == 2 and out[3][0] != out[4][0] and out[3][1] == 1
 
 
+def test_every_row_gets_a_near_mark(spark):
+    rng = random.Random(1)
+    rows = [(i, "ab"[i % 2], [rng.gauss(0, 1) for _ in range(8)]) for i in range(120)] + [(200, "c", [1.0, 0.0]), (201, None, [1.0, 0.0]), (202, "a", None), (203, "d", [0.0, 0.0]), (204, "d", [0.0, 1.0])]
+    rows += [(300 + i, "e", [1.0, 1.0]) for i in range(3)]
+
+    def cosine(u, v):
+        norm = math.sqrt(sum(x * x for x in u)) * math.sqrt(sum(x * x for x in v))
+        return round(sum(x * y for x, y in zip(u, v)) / norm, 6) if norm else 0.0
+
+    want = {}
+    for i, g, v in rows:
+        others = [(-cosine(v, w), j) for j, h, w in rows if i != j and g is not None and g == h and v and w]
+        s, j = min((x for x in others if x[0] < 0), default=(0.0, None))
+        want[i] = (j, -s, j is not None and -s > 0.7)
+    df = spark.createDataFrame(rows, "i long, g string, v array<float>")
+    for block in (7, 1000):
+        got = {r.i: (r.partner, r.sim, r.near_dup) for r in audit.near_marks(df, "g", "i", "v", 0.7, block=block).collect()}
+        assert set(got) == set(want) and all(got[i][::2] == want[i][::2] and abs(got[i][1] - want[i][1]) < 3e-6 for i in want)
+    assert 0 < sum(x[2] for x in want.values()) < len(want)
+
+
+def test_visual_near_dup_is_registered_for_every_row(spark, tmp_path):
+    rows = [(i, i % 2, [1.0, float(i)]) for i in range(1, 9)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert catalogue.queries()["visual_near_dup"](spark, str(tmp_path)).where("near_dup").count() == 8
+
+
 def test_split_is_whole_and_disjoint(spark):
     df = spark.createDataFrame([(f"k{i}",) for i in range(40)] * 2, "k string")
     s = sampling.split_keys(df, "k", {"train": 0.7, "val": 0.15, "test": 0.15})
