@@ -122,12 +122,13 @@ def shortened(texts: DataFrame) -> DataFrame:
     return inside.unionByName(out.sparkSession.createDataFrame(across, "answer string")).distinct()
 
 
-def flag_pairs(messages: DataFrame, *, long_words: int = 7, long_letters: int = 9, usual: int = 5) -> DataFrame:
+def flag_pairs(messages: DataFrame, *, long_words: int = 7, long_letters: int = 9, usual: int = 5, usual_share: float = 0.0003) -> DataFrame:
     """Every pair with its ``defect`` or null: ``(sample_id, msg_idx, question, answer, defect)``.
 
     The first of empty, refusal, copied, truncated, language that holds. An unfinished answer (no final punctuation) is
     truncated if it has ``long_words`` words, leaves a quote, bracket or tag open, is a shortened version of another answer
-    without being ``usual`` itself, or has the length of a spike. Ties, repeated rows and empty tables need no special case.
+    without being usual itself, or has the length of a spike. Usual is what makes up ``usual_share`` of all answers and
+    occurs ``usual`` times. Ties, repeated rows and empty tables need no special case.
     """
     p = pairs(messages).withColumn("answer", F.regexp_replace(spoken(F.coalesce("content", F.lit(""))), rf"^{BLANK}+|{BLANK}+$", ""))
     q = F.coalesce(F.regexp_replace("question", r"(?s)<visual_window>.*?</visual_window>", " "), F.lit(""))
@@ -139,7 +140,7 @@ def flag_pairs(messages: DataFrame, *, long_words: int = 7, long_letters: int =
     lengths = p.where("unfinished").groupBy("n").agg(F.count("*").alias("c"))
     around = Window.orderBy("n").rangeBetween(-12, 12)  # one row per distinct length
     limits = lengths.withColumn("near", (F.sum("c").over(around) - F.col("c")) / 24.0).where((F.col("c") >= 8) & (F.col("c") >= 6 * F.col("near")) & (F.col("n") >= 40)).select("n", F.lit(True).alias("at_limit"))
-    known = counts.join(short, "answer", "left").where("is_short and times < %d" % usual).select("answer", F.lit(True).alias("is_short"))
+    known = counts.join(short, "answer", "left").where(F.col("is_short") & (F.col("times") < max(usual, usual_share * p.count()))).select("answer", F.lit(True).alias("is_short"))
     p = p.join(known, "answer", "left").join(limits, "n", "left")
 
     qw, aw = F.split("q", " "), F.split("a", " ")

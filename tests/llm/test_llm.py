@@ -189,6 +189,15 @@ def test_pair_defects(spark):
     assert got == {(k, 1): v for k, v in want.items()}
 
 
+def test_usual_is_a_share_of_the_answers(spark):
+    short, k = "The crate is bl", F.col("id")
+    for n, want in ((24_000, 6), (300, 0)):  # six of 24,000 are few, six of 300 are usual
+        said = F.when(k < 6, short).when(k < 100, "The crate is blue.").otherwise("Yes, it is.")
+        rows = spark.range(n).select(k.alias("sample_id"), F.posexplode(F.array(F.lit("What colour is the crate?"), said)).alias("msg_idx", "content"))
+        rows = rows.withColumns({"role": F.when(F.col("msg_idx") == 0, "user").otherwise("gpt"), "logged_at": F.lit(NOW)})
+        assert pair_defects.defective_pairs(rows).where("defect = 'truncated'").count() == want
+
+
 def test_shortened_against_brute_force(spark):
     rng = random.Random(6)
     texts = {"".join(rng.choice("ab") for _ in range(rng.randint(1, 9))) for _ in range(300)}
