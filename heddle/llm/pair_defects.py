@@ -150,7 +150,8 @@ def flag_pairs(messages: DataFrame, *, long_words: int = 7, long_letters: int =
     asks = F.col("answer").rlike(r"[?？][\"'”’)\]]*$|什么|多少|^请") | (aw[0] == qw[0])
     near = asks & (new == 0) & (F.size(qset) >= 3) & (both / most >= 0.7) & (F.size(aw) <= 2.2 * F.size(qw) + 2)
     inside = (F.length("q") >= 8) & F.col("a").contains(F.col("q")) & (F.length("a") <= 2.2 * F.length("q") + 12)
-    close = asks & (F.length("q").between(8, 400)) & (F.levenshtein(F.substring("q", 1, 400), F.substring("a", 1, 400)) <= 0.15 * F.length("q"))
+    alike = asks & (F.length("q") >= 8) & (F.abs(F.length("q") - F.length("a")) <= 0.15 * F.length("q"))
+    close = F.when(alike, F.expr("levenshtein(q, a, cast(floor(0.15 * length(q)) as int))") >= 0).otherwise(False)  # -1 over the threshold
     copied = (F.col("q") != "") & ((F.col("a") == F.col("q")) | near | inside | close)
 
     low = F.lower(F.regexp_replace("answer", "’", "'"))

@@ -189,6 +189,17 @@ def test_pair_defects(spark):
     assert got == {(k, 1): v for k, v in want.items()}
 
 
+def test_copies_are_compared_whole(spark):
+    rng = random.Random(8)
+    long = " ".join(rng.choice(["crate", "door", "lamp", "shelf", "bench"]) + str(rng.randint(1, 99)) for _ in range(90))
+    mid = long[:360].rsplit(" ", 1)[0]
+    said = {1: (long + "?", long.replace("crate", "box", 1) + "?"), 2: (mid + "?", mid.replace("door", "gate", 1) + " and this is the answer it asked for, said in many other words?"), 3: (mid + "?", mid.replace("door", "gate", 1) + "?"), 4: (long + "?", long[::-1] + "?")}
+    rows = [(i, i, k, r, c, NOW) for i, qa in said.items() for k, (r, c) in enumerate(zip(("user", "gpt"), qa))]
+    rows = spark.createDataFrame(rows, "message_id long, sample_id long, msg_idx int, role string, content string, logged_at timestamp_ntz")
+    assert len(long) > 400 and 340 <= len(mid) <= 400
+    assert {r.sample_id: r.defect for r in pair_defects.defective_pairs(rows).collect()} == {1: "copied", 3: "copied"}
+
+
 def test_usual_is_a_share_of_the_answers(spark):
     short, k = "The crate is bl", F.col("id")
     for n, want in ((24_000, 6), (300, 0)):  # six of 24,000 are few, six of 300 are usual
