@@ -12,17 +12,20 @@ counts little and names and numbers of one item count much.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from heddle.session import stage
+
 #: Widths in bits of the blocks of a fingerprint. Each may differ in one bit, so the radius is one less than twice their number.
 BLOCKS = (21, 21, 22)
 RADIUS = 2 * len(BLOCKS) - 1
@@ -55,29 +58,54 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(_STAMP.sub(" ", text).lower())
 
 
-def question_core(questions: list[str | None], least: int = 4) -> list[str]:
-    """Questions without the standing instructions: sentences that end ``least`` or more different questions are removed."""
-    parts = [re.split(r"(?<=[.?!])\s+", (q or "").strip()) for q in questions]
-    ends = Counter(s for p in {tuple(p) for p in parts} if len(p) > 1 for s in p[1:])
-    return [" ".join(s for i, s in enumerate(p) if i == 0 or ends[s] < least) for p in parts]
+def sentences(question: str | None) -> list[str]:
+    return re.split(r"(?<=[.?!])\s+", (question or "").strip())
+
+
+def standing(questions: Iterable[str | None], least: int = 4) -> set[str]:
+    """The standing instructions: sentences that end ``least`` or more different questions."""
+    ends = Counter(s for p in {tuple(sentences(q)) for q in questions} if len(p) > 1 for s in p[1:])
+    return {s for s, n in ends.items() if n >= least}
+
+
+def question_core(question: str | None, instructions: set[str]) -> str:
+    """A question without the standing instructions."""
+    return " ".join(s for i, s in enumerate(sentences(question)) if i == 0 or s not in instructions)
+
+
+class Common:
+    """What all items have in common, from ``rows()``: standing instructions, word weights and the least weight of a rare word."""
+
+    def __init__(self, rows: Callable[[], Iterable[tuple]], width: int) -> None:
+        self.instructions = standing(q for *_, q in rows())
+        seen, texts = Counter(), set()
+        for _, passage, question in rows():
+            for text in (passage, question_core(question, self.instructions)):
+                w = words(text)
+                if len(w) >= width and (key := hashlib.blake2b(" ".join(w).encode(), digest_size=16).digest()) not in texts:
+                    texts.add(key)
+                    seen.update(set(w))
+        self.weight = {w: max(1, round(math.log(len(texts) / c))) for w, c in seen.items()}
+        self.rare = 0.6 * math.log(max(2, len(texts)))
 
 
 class Items:
-    """The test texts of one block of items: words, weights, window fingerprints and the index over them."""
+    """The test texts of one block of items: words, weights, window fingerprints and the index over them.
+
+    ``common`` is that of all items, so an item's outcome does not depend on its block; that of ``rows`` if not given.
+    """
 
-    def __init__(self, rows: list[tuple], width: int) -> None:
-        self.width = width
+    def __init__(self, rows: list[tuple], width: int, common: Common | None = None) -> None:
+        common = common or Common(lambda: rows, width)
+        self.width, self.weight = width, common.weight
         owners: dict[tuple, set] = {}
-        for (item, passage, _), core in zip(rows, question_core([q for *_, q in rows]), strict=True):
-            for text in (passage, core):
+        for item, passage, question in rows:
+            for text in (passage, question_core(question, common.instructions)):
                 if len(w := words(text)) >= width:
                     owners.setdefault(tuple(w), set()).add(item)
         self.texts = list(owners)
         self.owners = [sorted(owners[t]) for t in self.texts]
-        seen = Counter(w for t in self.texts for w in set(t))
-        self.weight = {w: max(1, round(math.log(len(self.texts) / c))) for w, c in seen.items()}
-        rare = 0.6 * math.log(max(2, len(self.texts)))
-        self.rare = [{w for w in t if self.weight[w] >= rare} for t in self.texts]
+        self.rare = [{w for w in t if self.weight[w] >= common.rare} for t in self.texts]
 
     def build(self) -> None:
         if not self.texts:
@@ -212,12 +240,14 @@ def find_leaks(documents: DataFrame, items: DataFrame, *, width: int = 8, least_
     are no items. Repeated documents are reported each under its id; extra columns are not read.
     """
     spark, schema = documents.sparkSession, "doc_id long, item_id long, n_words long, similarity double"
-    out, held, rows = None, [], items.select("item_id", "passage", "question").where("item_id is not null").orderBy("passage", "item_id").toLocalIterator()
+    rows = stage(items.select("item_id", "passage", "question").where("item_id is not null"), "items")
+    common = Common(rows.toLocalIterator, width)
+    out, held = None, []
 
     def scan(part: list[tuple]) -> DataFrame:
-        return documents.select("doc_id", "text").where("text is not null").mapInPandas(find_in_batches(Items(part, width), least_words, least_similarity, least_rare), schema)
+        return documents.select("doc_id", "text").where("text is not null").mapInPandas(find_in_batches(Items(part, width, common), least_words, least_similarity, least_rare), schema)
 
-    for r in rows:
+    for r in rows.orderBy("passage", "item_id").toLocalIterator():
         if len(held) >= block and r.passage != held[-1][1]:
             out, held = scan(held) if out is None else out.unionByName(scan(held)), []
         held.append(tuple(r))

@@ -271,6 +271,15 @@ def test_leaks(spark):
     assert leakage.leaked_pairs(docs, table.where("false")).count() == 0 and leakage.leaked_pairs(docs.where("false"), table).count() == 0
 
 
+def test_blocks_of_items_change_nothing(spark):
+    said = "Please reply with exactly one capital letter and give no explanation of any kind whatsoever."
+    rows = [(i, p, f"{q.split('?')[0]}? {said}") for i, p, q in items(24)]
+    docs = spark.createDataFrame([(k, x, "s", 1, 0.0) for k, x in enumerate([said, rows[3][1], rows[9][2], " ".join(rows[7][1].split()[:12])])], DOCS)
+    table = spark.createDataFrame(rows, "item_id long, passage string, question string")
+    whole, blocks = (sorted(map(tuple, leakage.find_leaks(docs, table, block=b).collect())) for b in (5_000, 2))
+    assert whole == blocks and not any(d == 0 for d, *_ in whole) and {(d, i) for d, i, *_ in whole} >= {(1, 3)}
+
+
 def test_no_pair_in_the_radius_is_missed():
     it = leakage.Items(items(40), 8)
     it.build()
