@@ -193,7 +193,13 @@ class Items:
         return n, common / all_words if all_words else 0.0, len(same & rare)
 
 
-def find_in_batches(items: Items, least_words: int, least_similarity: float, least_rare: int):
+def exact_run(stretch: list[str], item: tuple, n: int) -> bool:
+    """True where ``n`` words in sequence are the same."""
+    whole = f" {' '.join(item)} "
+    return any(f" {' '.join(stretch[i : i + n])} " in whole for i in range(len(stretch) - n + 1))
+
+
+def find_in_batches(items: Items, least_words: int, least_similarity: float, least_rare: int, long_run: int):
     """The function for ``mapInPandas``: ``(doc_id, text)`` to ``(doc_id, item_id, n_words, similarity)``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -218,10 +224,10 @@ def find_in_batches(items: Items, least_words: int, least_similarity: float, lea
                     item, margin = items.texts[t], 2 * items.width
                     for lo, hi in runs:
                         stretch = texts[d][max(0, lo - margin) : hi + items.width + margin]
-                        if len(items.rare[t].intersection(stretch)) < least_rare:
+                        if len(items.rare[t].intersection(stretch)) < least_rare and not exact_run(stretch, item, long_run):
                             continue
                         got = items.shared(stretch, item, items.rare[t])
-                        if got[0] >= least_words and got[1] >= least_similarity and got[2] >= least_rare:
+                        if got[0] >= least_words and got[1] >= least_similarity and got[2] >= least_rare or exact_run(stretch, item, long_run):
                             for owner in items.owners[t]:
                                 found[d, owner] = max(found.get((d, owner), (0, 0.0)), got[:2])
                 if found:
@@ -231,11 +237,12 @@ def find_in_batches(items: Items, least_words: int, least_similarity: float, lea
     return run
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, *, width: int = 8, least_words: int = 10, least_similarity: float = 0.55, least_rare: int = 2, block: int = 5_000) -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, *, width: int = 8, least_words: int = 10, least_similarity: float = 0.55, least_rare: int = 2, long_run: int = 12, block: int = 5_000) -> DataFrame:
     """``(doc_id, item_id, n_words, similarity)`` for every document that holds material of an item's passage or question.
 
     A stretch counts if it shares ``least_words`` words in order, among them ``least_rare`` that few test texts have, and the
-    weighted similarity of its two sides is ``least_similarity``. ``n_words`` is the number of words the best one shares. Items are taken ``block`` at a time, each block is one scan
+    weighted similarity of its two sides is ``least_similarity``; or if it shares ``long_run`` words in sequence, rare or not
+    (standing instructions are no part of the items). ``n_words`` is the number of words the best one shares. Items are taken ``block`` at a time, each block is one scan
     of the corpus; those that share a passage are all reported. Null or empty texts hold nothing, texts under ``width`` words
     are no items. Repeated documents are reported each under its id; extra columns are not read.
     """
@@ -245,7 +252,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, *, width: int = 8, least_
     out, held = None, []
 
     def scan(part: list[tuple]) -> DataFrame:
-        return documents.select("doc_id", "text").where("text is not null").mapInPandas(find_in_batches(Items(part, width, common), least_words, least_similarity, least_rare), schema)
+        return documents.select("doc_id", "text").where("text is not null").mapInPandas(find_in_batches(Items(part, width, common), least_words, least_similarity, least_rare, long_run), schema)
 
     for r in rows.orderBy("passage", "item_id").toLocalIterator():
         if len(held) >= block and r.passage != held[-1][1]:

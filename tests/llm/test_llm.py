@@ -271,6 +271,14 @@ def test_leaks(spark):
     assert leakage.leaked_pairs(docs, table.where("false")).count() == 0 and leakage.leaked_pairs(docs.where("false"), table).count() == 0
 
 
+def test_long_exact_run_needs_no_rare_words(spark):
+    common = "the cook lifts the map near the door and then the host folds it again"
+    rows = [(i, f"{p} {common}" if i < 30 else p, q) for i, p, q in items(60)]
+    docs = spark.createDataFrame([(0, common, "s", 1, 0.0), (1, " ".join(common.split()[:11]), "s", 1, 0.0)], DOCS)
+    got = {tuple(r) for r in leakage.leaked_pairs(docs, spark.createDataFrame(rows, "item_id long, passage string, question string")).collect()}
+    assert got == {(0, i) for i in range(30)}
+
+
 def test_blocks_of_items_change_nothing(spark):
     said = "Please reply with exactly one capital letter and give no explanation of any kind whatsoever."
     rows = [(i, p, f"{q.split('?')[0]}? {said}") for i, p, q in items(24)]
