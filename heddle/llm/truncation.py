@@ -75,7 +75,7 @@ def evidence_of(text: Column) -> Column:
                 ((k == "json") & open_structure(body)).alias("open"),
                 body.rlike(TERMINAL).alias("ended"),
                 F.right(body, F.lit(16)).rlike(WEAK_MARK).alias("weak"),
-                F.substring(bound(line, key), 1, 200).alias("ending"),  # longer endings are never usual
+                bound(bound(line, key), lambda e: F.when(F.length(e) <= 200, e).otherwise(F.concat(F.substring(e, 1, 100), F.sha2(e, 256)))).alias("ending"),  # whole, or told apart by a hash
             )
 
         return bound(kind, of_kind)

@@ -121,6 +121,14 @@ def test_posterior_decides_where_the_ending_shows_nothing(spark):
     assert got == {2000 + 2 * k + j: (j == 0, j == 0 and k < 3) for k in range(4) for j in (0, 1)}
 
 
+def test_long_endings_are_told_apart(spark):
+    line = "and the host then shows the following items one after another " * 4
+    rows = [("a", i, 0, f"It is dark. {line}{'x' * (i % 37)}k{chr(97 + i % 26)}{chr(97 + i // 26)}q", "x", 1) for i in range(60)] + [("a", 100 + i, 0, f"Seen {i} times. It is over.", "x", 1) for i in range(60)]
+    rows += [("a", 200 + i, 0, f"Chunk {chr(97 + i)}. {line}", "x", 1) for i in range(9)]
+    got = {r.chunk_idx for r in truncation.truncated_replies(spark.createDataFrame(rows, EVIDENCE), spark.createDataFrame([("a", "cook")], "video_id string, dataset string")).collect()}
+    assert got == set(range(60))  # the same whole line nine times is usual
+
+
 def test_censored_fit_recovers_the_distribution():
     x = np.round(np.exp(np.random.default_rng(3).normal(5, 0.5, 50_000)))
     cut = x > 200
