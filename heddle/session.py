@@ -79,6 +79,30 @@ def drop_stage(df: DataFrame) -> None:
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def put_file(spark: SparkSession, name: str, data: bytes) -> str:
+    """Writes ``data`` once to the shared folder and gives it to every executor; workers open it with ``local_file``.
+
+    Executors fetch the file when a task first needs it, so it is no part of any task's closure.
+    """
+    path = f"{fresh_path(spark, name)}.bin"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+    try:
+        for i in range(0, len(data), 1 << 24):
+            out.write(bytearray(data[i : i + (1 << 24)]))
+    finally:
+        out.close()
+    spark.sparkContext.addFile(path)
+    return path.rsplit("/", 1)[1]
+
+
+def local_file(name: str) -> str:
+    """Where a worker finds what ``put_file`` wrote."""
+    from pyspark import SparkFiles
+
+    return SparkFiles.get(name)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``checkpoint()`` in the shared folder."""
     sc = df.sparkSession.sparkContext
