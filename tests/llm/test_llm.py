@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -292,13 +293,17 @@ def test_blocks_of_items_change_nothing(spark):
     rows = [(i, p, f"{q.split('?')[0]}? {said}") for i, p, q in items(24)]
     docs = spark.createDataFrame([(k, x, "s", 1, 0.0) for k, x in enumerate([said, rows[3][1], rows[9][2], " ".join(rows[7][1].split()[:12])])], DOCS)
     table = spark.createDataFrame(rows, "item_id long, passage string, question string")
-    whole, blocks = (sorted(map(tuple, leakage.find_leaks(docs, table, block=b).collect())) for b in (5_000, 2))
-    assert whole == blocks and not any(d == 0 for d, *_ in whole) and {(d, i) for d, i, *_ in whole} >= {(1, 3)}
+    whole, *blocks = (sorted(map(tuple, leakage.find_leaks(docs, table, block=b).collect())) for b in (5_000, 10, 2))
+    assert all(whole == b for b in blocks) and not any(d == 0 for d, *_ in whole) and {(d, i) for d, i, *_ in whole} >= {(1, 3)}
+
+
+def index(rows):
+    common = leakage.Common(lambda: rows, leakage.PIECE)
+    return common, leakage.Segment(rows, common)
 
 
 def test_no_pair_in_the_radius_is_missed():
-    it = leakage.Items(items(40), 8)
-    it.build()
+    _, it = index(items(40))
     rng = np.random.default_rng(9)
     prints = it.prints[rng.integers(0, len(it.prints), 300)].copy()
     for k in range(len(prints)):
@@ -309,6 +314,33 @@ def test_no_pair_in_the_radius_is_missed():
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == want
 
 
+def test_shingle_similarity_against_brute_force():
+    rows = items(12)
+    common, s = index(rows)
+    t = leakage.Texts([leakage.words(p.replace("folds", "lifts")) for _, p, _ in rows], common)
+    rng = np.random.default_rng(13)
+    x, y = (np.array([rng.integers(a, b - 7) for a, b in zip(v.starts[:12], v.starts[1:13])]) for v in (t, s))
+    y[:6] = s.starts[:12:2] if len(s.starts) > 12 else y[:6]
+    got = leakage.shingle_similarity(t, x, s, y, 8)
+    for k in range(12):
+        (ca, wa), (cb, wb) = ((v.codes[i : i + 8].tolist(), v.weights[i : i + 8].tolist()) for v, i in ((t, x[k]), (s, y[k])))
+        sa, sb = (([(c[j], c[j + 1]) for j in range(7)], [w[j] + w[j + 1] for j in range(7)]) for c, w in ((ca, wa), (cb, wb)))
+        both = (sum(w for g, w in zip(*sa) if g in sb[0]) + sum(w for g, w in zip(*sb) if g in sa[0])) / 2
+        assert abs(got[k] - both / (sum(sa[1]) + sum(sb[1]) - both)) < 1e-5
+
+
+def test_changed_texts_need_the_radius(monkeypatch):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(24)), None) for i in range(60)]  # words of equal weight, every fourth changed
+    said = pd.DataFrame([(i, " ".join(f"um{i}" if k % 4 == 3 else w for k, w in enumerate(p.split()))) for i, p, _ in rows], columns=["doc_id", "text"])
+    found = {}
+    for radius in (0, leakage.RADIUS):
+        monkeypatch.setattr(leakage, "RADIUS", radius)
+        common, s = index(rows)
+        monkeypatch.setattr(leakage.Search, "held", {"c": common, "leak-segment": s})
+        found[radius] = {r.doc_id for p in leakage.Search("c", ["leak-segment"], 10, 0.4, 2, 12, 0.25)(iter([said])) for r in p.itertuples() if r.doc_id == r.item_id}
+    assert not found[0] and len(found[leakage.RADIUS]) >= 5
+
+
 # 8
 
 
