@@ -34,11 +34,21 @@ def clean_dataset(c: Column) -> Column:
     return F.when(~x.isin("", "-", "n/a", "na", "none", "null", "unknown", "nan", "?"), x)
 
 
-def salted_lookup(df: DataFrame, dim: DataFrame, key: str, salt: Column, salts: int = 16) -> DataFrame:
-    """``df`` left-joined to ``dim`` (one row per ``key``), with each key's rows spread over ``salts`` tasks.
+def spread_lookup(df: DataFrame, dim: DataFrame, key: str, salt: Column, *, keys: DataFrame | None = None, share: float = 0.001) -> DataFrame:
+    """``df`` left-joined to ``dim`` (one row per ``key``), with the rows of hot keys spread over all tasks.
 
-    A key that holds a third of all rows then fills no task by itself. Rows whose key is null are kept without a match.
+    Hot is a key with more than ``share`` of the rows, so there are under 1 / share of them: their rows of ``dim`` are
+    broadcast, and in the shuffle each hot row goes where the hash of ``salt`` sends it. The keys are counted with partial
+    aggregation, in ``keys`` if that holds them more cheaply (it may count some rows more often). Rows whose key is null are spread likewise and kept without a match.
     """
-    left = df.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int"))
-    right = dim.withColumn("_salt", F.explode(F.array(*(F.lit(i) for i in range(salts)))))
-    return left.join(right, [key, "_salt"], "left").drop("_salt")
+    keys = df.select(key) if keys is None else keys
+    counts = keys.groupBy(key).agg(F.count("*").alias("_n"))
+    n = keys.count()
+    hot = counts.where((F.col("_n") > share * n) & F.col(key).isNotNull()).select(key)
+    values = [c for c in dim.columns if c != key]
+    by_hot = dim.join(F.broadcast(hot), key, "left_semi").select(F.col(key), F.lit(True).alias("_hot"), *(F.col(c).alias(f"_{c}") for c in values))
+    rows = df.join(F.broadcast(by_hot), key, "left")
+    away = F.concat(F.lit("\0"), F.xxhash64(salt).cast("string"))  # equals no key
+    rows = rows.withColumn("_key", F.when(F.col("_hot") | F.col(key).isNull(), away).otherwise(F.col(key)))
+    joined = rows.join(dim.withColumnRenamed(key, "_key"), "_key", "left")
+    return joined.withColumns({c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in values}).drop("_key", "_hot", *(f"_{c}" for c in values))

@@ -1,9 +1,9 @@
 """Texts cut off by length limits or broken transfers (problem 3).
 
 Per source a log-normal length distribution is fitted by maximum likelihood, with the surplus at candidate limits taken as
-right-censored. Each value's censoring posterior at its length is then combined, as log-odds, with evidence from its ending:
-open structure, remains of a transfer, final punctuation, and whether replies of its form usually end like this. Where the
-ending shows nothing (a mark that also stands inside sentences), the posterior decides; clear endings outweigh it.
+right-censored; that gives each value's censoring posterior at its length. Values at limits are nearly all cut, so they show
+how cut texts end, and the other lengths show how the rest ends, a few of them cut in transfer. From both it follows how much
+more often cut texts end in one kind of ending than whole ones; each value's posterior and ending are combined as log-odds. A cut that leaves a whole sentence or structure behind is no case, so values with a strong final mark are not named.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from heddle.llm.common import BLANK, clean_dataset, salted_lookup
+from heddle.llm.common import BLANK, clean_dataset, spread_lookup
 from heddle.session import stage
 
 #: What a broken transfer or a cutting program leaves at the end.
@@ -27,8 +27,13 @@ TERMINAL = r"[.!?。！？][\"'”’)\]]*$|[)\]}`]$"
 WEAK_MARK = r"(?<![.!?。！？][\"'”’]{0,3})[)\]}`]$|(?:(?<![\p{L}\p{N}])(?:\p{L}|(?i:e\.g|i\.e|approx|ca|cf|dr|mr|mrs|ms|fig|no|nr|vs|st))|\d)\.$"
 STRING = r'"(?:[^"\\]++|\\.)*+"'
 
-#: Weights of the evidence, in natural log-odds. The prior lies in [-3.5, 3.9], so it decides at WEAK and only there.
-OPEN, CLOSED, LEFTOVER, USUAL, ENDED, WEAK, UNENDED = 6.0, -6.0, 10.0, -6.0, -6.0, 0.0, 5.0
+#: Kinds of ending, remains of a transfer aside. closed: whole structure; ended, weak: a final mark, one that also stands inside
+#: sentences; usual: an ending that many replies of the form have; unended: none of these, or structure left open.
+KINDS = ("unended", "closed", "ended", "usual", "weak")
+#: Log-odds of a reply that ends in remains of a transfer: only a cut leaves these.
+LEFTOVER = 10.0
+#: Kinds that cannot be a break inside a word, sentence, value or structure.
+WHOLE = ("closed", "ended")
 
 
 def form(body: Column) -> Column:
@@ -116,11 +121,14 @@ def fit_censored(lengths: np.ndarray, counts: np.ndarray, cut_counts: np.ndarray
 LIMITS = "source string, n int, count long, mu double, sigma double, expected double, posterior double"
 
 
-def limit_posteriors(lengths: DataFrame, *, reach: int = 12, times: float = 6.0, least: int = 4) -> DataFrame:
-    """LIMITS rows for each source's candidate limits, from ``lengths(source, n, count)``.
+def limit_posteriors(lengths: DataFrame, *, reach: int = 12, times: float = 6.0, least: int = 4, chance: float = 0.01) -> DataFrame:
+    """LIMITS rows for each source's candidate limits, from ``lengths(source, n, count, endings)``.
 
-    A candidate is a length that holds at least ``least`` values and ``times`` the mean of the lengths within ``reach``.
-    The posterior is the share of values there that the fitted distribution does not account for.
+    A candidate is a length that holds at least ``least`` values of different endings (a text stored many times with little
+    changed is no limit) and ``times`` the mean of the lengths within ``reach``.
+    The posterior is the share of values there that the fitted distribution does not account for. A candidate is no limit
+    where so many values are to be expected by chance at one of the source's lengths (Chernoff's bound on the Poisson tail,
+    times the number of lengths, over ``chance``).
     """
     near = Window.partitionBy("source").orderBy("n").rangeBetween(-reach, reach)
     spikes = lengths.withColumn("around", (F.sum("count").over(near) - F.col("count")) / (2.0 * reach))
@@ -128,43 +136,88 @@ def limit_posteriors(lengths: DataFrame, *, reach: int = 12, times: float = 6.0,
     def fit(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("n")
         n, c, around = p["n"].to_numpy(float), p["count"].to_numpy(float), p["around"].to_numpy(float)
-        at = (c >= least) & (c >= times * np.maximum(around, 0.25)) & (n >= 32)
+        e = p["endings"].to_numpy(float)
+        at = (e >= least) & (c >= times * np.maximum(around, 0.25)) & (n >= 32)
         mu, sigma = fit_censored(np.maximum(n, 1), c, np.where(at, np.maximum(c - around, 0), 0.0))
         dens = np.exp(-(((np.log(np.maximum(n, 1)) - mu) / sigma) ** 2) / 2) / (np.maximum(n, 1) * sigma * math.sqrt(2 * math.pi)) * c.sum()
         out = pd.DataFrame({"source": p["source"], "n": p["n"], "count": p["count"], "mu": mu, "sigma": sigma, "expected": dens, "posterior": np.clip(1 - np.maximum(dens, around) / c, 0, 1)})
-        return out[at]
+        rate = np.maximum(dens, around)
+        tail = np.log(len(n)) - rate + e * (1 + np.log(np.maximum(rate, 1e-9) / e))
+        return out[at & (e > rate) & (tail < math.log(chance))]
 
     return spikes.groupBy("source").applyInPandas(fit, LIMITS)  # a group has one row per distinct length
 
 
-def judge(evidence: DataFrame, registry: DataFrame, *, usual_share: float = 0.003, usual_field: float = 0.01, base_rate: float = 0.03) -> tuple[DataFrame, DataFrame]:
-    """``(replies, limits)``: each distinct reply with ``source, n, posterior, log_odds, truncated``, and the limits found.
+def kind_of_ending() -> Column:
+    """The kind of a reply's ending, one of KINDS."""
+    json = F.when(F.col("open"), "unended").otherwise("closed")
+    text = F.when(F.col("ended") & ~F.col("weak"), "ended").when(F.col("usual"), "usual").when(F.col("ended"), "weak").otherwise("unended")
+    return F.when(F.col("form") == "json", json).otherwise(text)
+
+
+def fit_endings(counts: pd.DataFrame, *, most: float = 0.25, stray: float = 0.005, carries: float = 0.05, shared: float = 20.0) -> pd.DataFrame:
+    """``form, kind, rate, ratio`` from ``counts(form, kind, posterior, n)``: how cut and whole replies of a form end.
+
+    Replies at limits show how cut replies end, after the whole ones that the length fit expects there are taken off. Replies
+    of other lengths are a mixture of whole ones and of some cut in transfer. Of the mixtures that explain their endings, that
+    with most cuts is taken: the share of cuts ``rate`` grows until a kind of ending that makes up ``carries`` of the cut
+    replies is used up, or to ``most``. What is left shows how whole replies end; ``stray`` of them lack a regular ending.
+    ``ratio`` is the logarithm of how much more often cut replies end so than whole ones. ``shared`` replies of all forms
+    together steady rare forms; without limits every cut reply counts as unended.
+    """
+    kinds = list(KINDS)
+    n = counts.assign(at=counts["posterior"] > 0, chance=(1 - counts["posterior"]) * counts["n"] * (counts["posterior"] > 0))
+    table = n.pivot_table(index=["form", "at"], columns="kind", values="n", aggfunc="sum", fill_value=0).reindex(columns=kinds, fill_value=0) if len(n) else None
+    unended, out = np.array([k == "unended" for k in kinds], dtype=float), []
+    pick = lambda form, at: table.loc[(form, at)].to_numpy(float) if (form, at) in table.index else np.zeros(len(kinds))
+    share = lambda x: x / max(x.sum(), 1e-9)
+
+    def fit(limit: np.ndarray, chance: float, off: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        whole, off = share(off), share(off)
+        for _ in range(5):
+            cut = share(np.maximum(limit - chance * whole, 0) + 1e-6)
+            rate = float(np.clip(min([o / c for o, c in zip(off, cut, strict=True) if c >= carries]), 1e-4, most))
+            whole = share(np.maximum(off - rate * cut, 0) + stray * unended + 1e-6)
+        return rate, cut, whole
+
+    forms = sorted(set(n["form"]))
+    limits, others = (sum((pick(f, at) for f in forms), np.zeros(len(kinds))) for at in (True, False))
+    _, cut, _ = fit(limits + unended, float(n["chance"].sum()), others)
+    for f in forms:
+        rate, c, w = fit(pick(f, True) + shared * cut, float(n["chance"][n["form"] == f].sum()), pick(f, False) + shared * share(others))
+        out.append(pd.DataFrame({"form": f, "kind": kinds, "rate": rate, "ratio": np.log(c) - np.log(w)}))
+    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"form": [], "kind": [], "rate": [], "ratio": []})
+
+
+def judge(evidence: DataFrame, registry: DataFrame, *, usual_share: float = 0.003, usual_field: float = 0.01, fitted: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``(replies, limits)``: each distinct reply with ``source, form, n, kind, posterior, log_odds, truncated``, and the limits.
 
     ``source`` is the dataset of the reply's ``video_id``, ``(unknown)`` where that has none. An ending is usual where it
     makes up ``usual_share`` of its form's replies (``usual_field`` for labelled lines), so there are at most 1 / usual_share
-    usual endings a form. Replies whose
-    length is no limit start from ``base_rate``. Ties and repeated rows count once; empty tables give empty results.
+    usual endings a form. ``log_odds`` combine the censoring posterior at the reply's length (the form's rate of cuts at other
+    lengths) with what its kind of ending shows. ``fitted=False`` leaves the length fit out, to measure what it contributes.
+    Ties and repeated rows count once; empty tables give empty results.
     """
+    spark = evidence.sparkSession
     dims = registry.where("video_id is not null").groupBy("video_id").agg(F.min(clean_dataset(F.col("dataset"))).alias("source"))
-    rows = salted_lookup(replies(evidence), dims, "video_id", F.struct("chunk_idx", "attempt")).withColumn("source", F.coalesce("source", F.lit("(unknown)")))
+    rows = spread_lookup(replies(evidence), dims, "video_id", F.struct("video_id", "chunk_idx", "attempt"), keys=evidence.select("video_id")).withColumn("source", F.coalesce("source", F.lit("(unknown)")))
     rows = stage(rows, "replies")
-    limits = stage(limit_posteriors(rows.groupBy("source", "n").agg(F.count("*").alias("count"))), "limits")
+    limits = stage(limit_posteriors(rows.groupBy("source", "n", "ending").agg(F.count("*").alias("c")).groupBy("source", "n").agg(F.sum("c").alias("count"), F.count("*").alias("endings"))).where(F.lit(fitted)), "limits")
     ends = rows.groupBy("form", "ending").agg(F.count("*").alias("c"))
     sums = rows.groupBy("form").agg(F.count("*").alias("all"))
     least = F.greatest(F.lit(5), F.when(F.col("form") == "fields", usual_field).otherwise(usual_share) * F.col("all"))
-    whole = (F.col("form") != "fields") | ~F.col("ending").startswith("|")
-    usual = ends.join(F.broadcast(sums), "form").where((F.col("c") >= least) & whole).select("form", "ending", F.lit(True).alias("usual"))  # sums: 4 forms
-    prior = F.coalesce("posterior", F.lit(base_rate))
-    clipped = F.least(F.greatest(prior, F.lit(base_rate)), F.lit(0.98))
-    ending = F.when(F.col("usual"), USUAL).when(F.col("ended") & F.col("weak"), WEAK).when(F.col("ended"), ENDED).otherwise(UNENDED)
-    shape = F.when(F.col("open"), OPEN).when((F.col("form") == "json"), CLOSED).otherwise(ending)
-    left = F.when(F.col("leftover"), LEFTOVER).otherwise(0.0)
-    scored = (
-        rows.join(F.broadcast(usual), ["form", "ending"], "left")  # at most 4 / usual_share rows
-        .join(limits.select("source", "n", "posterior"), ["source", "n"], "left")
-        .withColumn("log_odds", F.log(clipped / (1 - clipped)) + shape + left)
-    )
-    return scored.select("video_id", "chunk_idx", "attempt", "source", "form", "n", F.coalesce("posterior", F.lit(0.0)).alias("posterior"), "log_odds", (F.col("log_odds") > 0).alias("truncated")), limits
+    labelled = (F.col("form") != "fields") | ~F.col("ending").startswith("|")
+    usual = ends.join(F.broadcast(sums), "form").where((F.col("c") >= least) & labelled).select("form", "ending", F.lit(True).alias("usual"))  # sums: 4 forms
+    rows = rows.join(F.broadcast(usual), ["form", "ending"], "left").withColumn("kind", kind_of_ending())  # at most 4 / usual_share rows
+    at = limits.where("posterior > 0").select("source", "n", "posterior")
+    rows = rows.join(F.broadcast(at) if at.limit(100_001).count() <= 100_000 else at, ["source", "n"], "left").withColumn("posterior", F.coalesce("posterior", F.lit(0.0)))
+    seen = rows.groupBy("form", "kind", F.round("posterior", 2).alias("posterior")).agg(F.count("*").alias("n"))  # at most 4 forms x 5 kinds x 101
+    found = fit_endings(pd.DataFrame([tuple(r) for r in seen.collect()], columns=["form", "kind", "posterior", "n"]))
+    shows = spark.createDataFrame([(a, b, float(c), float(d)) for a, b, c, d in found.itertuples(index=False)], "form string, kind string, rate double, ratio double")
+    scored = rows.join(F.broadcast(shows), ["form", "kind"], "left")
+    prior = F.least(F.greatest("posterior", "rate"), F.lit(0.98))  # a length alone never makes sure
+    scored = scored.withColumn("log_odds", F.log(prior / (1 - prior)) + F.col("ratio") + F.when(F.col("leftover"), LEFTOVER).otherwise(0.0))
+    return scored.select("video_id", "chunk_idx", "attempt", "source", "form", "n", "kind", "posterior", "log_odds", ((F.col("log_odds") > 0) & (F.col("leftover") | ~F.col("kind").isin(*WHOLE))).alias("truncated")), limits
 
 
 def truncated_replies(evidence: DataFrame, registry: DataFrame) -> DataFrame:

@@ -122,6 +122,23 @@ def test_posterior_decides_where_the_ending_shows_nothing(spark):
     assert got == {2000 + 2 * k + j: (j == 0, j == 0 and k < 3) for k in range(4) for j in (0, 1)}
 
 
+def test_fit_decides_beside_the_ending(spark):
+    """Notes end without a mark in one source and replies are cut at 240 in the other: lengths alone tell the two apart."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("bdglmnprstvaeiou") for _ in range(rng.randint(2, 8)))
+    text = lambda k: "The " + " ".join(word() for _ in range(k))
+    rows = [("a", i, 0, text(rng.randint(20, 60)) + ".", "x", 1) for i in range(400)] + [("a", 1000 + i, 0, text(90)[:239] + "k", "x", 1) for i in range(120)]
+    rows += [("b", 3000 + i, 0, text(rng.randint(10, 70)), "x", 1) for i in range(500)]  # whole, though without a mark
+    reg = spark.createDataFrame([("a", "cook"), ("b", "notes")], "video_id string, dataset string")
+    found = {}
+    for fitted in (True, False):
+        r = truncation.judge(spark.createDataFrame(rows, EVIDENCE), reg, fitted=fitted)[0].where("truncated").collect()
+        found[fitted] = ({x.chunk_idx for x in r if x.video_id == "a"}, sum(x.video_id == "b" for x in r))
+    assert found[True][0] == set(range(1000, 1120)) and found[True][1] <= 25
+    with_fit, without = (len(a) / max(1, len(a) + b) * (len(a & set(range(1000, 1120))) / 120) for a, b in (found[True], found[False]))
+    assert with_fit > 0.8 and without < 0.5  # precision times recall
+
+
 def test_long_endings_are_told_apart(spark):
     line = "and the host then shows the following items one after another " * 4
     rows = [("a", i, 0, f"It is dark. {line}{'x' * (i % 37)}k{chr(97 + i % 26)}{chr(97 + i // 26)}q", "x", 1) for i in range(60)] + [("a", 100 + i, 0, f"Seen {i} times. It is over.", "x", 1) for i in range(60)]
