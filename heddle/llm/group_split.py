@@ -3,7 +3,8 @@
 Rows are related by source video or uploader. Components are found by alternating large-star and small-star rounds over
 one node per video; then component weights are balanced by largest differencing: within blocks of bounded size a heap
 repeatedly combines the two most uneven partial solutions into ``bins`` equal bins, the blocks' solutions are combined the
-same way, and whole bins go to the splits by target proportion. The driver sees block solutions only, never components.
+same way in a tree of tasks, and whole bins go to the splits by target proportion. The driver sees the last ``fan`` partial
+solutions at most, whatever the number of components.
 """
 
 from __future__ import annotations
@@ -146,39 +147,92 @@ def block_bins(bins: int, block: int):
     return run
 
 
-def assign_splits(registry: DataFrame, targets: DataFrame, *, bins: int = 100, block: int = 20_000, max_splits: int = 1_000) -> DataFrame:
+def combine_level(bins: int, level: int):
+    """The function for ``applyInPandas``: partial solutions ``(part, bin, w)`` of a group to ``(part, bin, up, up_bin, w)``."""
+
+    def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        solutions = []
+        for _, q in p.sort_values(["part", "bin"]).groupby("part"):
+            w, members = np.zeros(bins, dtype=np.int64), [[] for _ in range(bins)]
+            for i, k, x in zip(q.index, q["bin"], q["w"], strict=True):
+                w[k], members[k] = x, [i]
+            solutions.append((w, members))
+        _, members = combine(solutions)
+        at = pd.Series(0, index=p.index)
+        for k, m in enumerate(members):
+            at[m] = k
+        return pd.DataFrame({"part": p["part"], "bin": p["bin"], "up": f"{level}-{key[0]}", "up_bin": at, "w": p["w"]})
+
+    return run
+
+
+def place_bins(weight: np.ndarray, members: list, shares: list[tuple[str, int]]) -> list[tuple]:
+    """``(part, bin, split)``: bins go, heaviest first, to the split that lacks most of its share, ties to the lesser name."""
+    whole = sum(s for _, s in shares) or 1
+    lack, placed = {name: float(weight.sum()) * s / whole for name, s in shares}, []
+    for k in np.argsort(-weight, kind="stable"):
+        name = max(sorted(lack), key=lambda x: lack[x]) if lack else None
+        if lack:
+            lack[name] -= float(weight[k])
+        placed += [(part, int(b), name) for part, b in members[k]]
+    return placed
+
+
+def assign_splits(registry: DataFrame, targets: DataFrame, *, bins: int = 100, block: int = 20_000, fan: int = 64, max_splits: int = 1_000) -> DataFrame:
     """``(reg_id, group_reg_id, split_name)``: every row in exactly one split, related rows in the same one.
 
     ``targets`` has ``split_name, target_pct`` (at most ``max_splits`` rows, checked). Bins go, heaviest first, to the split
     that lacks most of its share, ties to the lesser name; a group heavier than a bin fills one by itself. Shares are taken
-    relative to their sum. Without targets the split is null; an empty registry gives no rows.
+    relative to their sum. Blocks of ``block`` components are solved in tasks; their solutions are combined ``fan`` at a time,
+    level by level, until at most ``fan`` are left for the driver. Without targets the split is null; an empty registry
+    gives no rows.
     """
     spark = registry.sparkSession
     rows = stage(related_rows(registry), "related")
     weights = rows.groupBy("group_reg_id").agg(F.count("*").alias("weight"))
     parts = stage(weights.mapInPandas(block_bins(bins, block), "part string, bin long, group_reg_id long, weight long"), "bins")
-    solved: dict[str, list] = {}
-    for r in parts.groupBy("part", "bin").agg(F.sum("weight").alias("w")).toLocalIterator():  # bins rows a block
-        solved.setdefault(r.part, [np.zeros(bins, dtype=np.int64), [[] for _ in range(bins)]])
-        solved[r.part][0][r.bin] = r.w
-        solved[r.part][1][r.bin] = [(r.part, r.bin)]
-    weight, members = combine([tuple(solved[k]) for k in sorted(solved)])
+    now = stage(parts.groupBy("part", "bin").agg(F.sum("weight").alias("w")), "solutions")
+    links: list[DataFrame] = []
+    n = now.select("part").distinct().count()
+    while n > fan:
+        n = -(-n // fan)
+        group = F.pmod(F.xxhash64("part"), F.lit(n)).cast("long").alias("g")
+        linked = stage(now.select("*", group).groupBy("g").applyInPandas(combine_level(bins, len(links)), "part string, bin long, up string, up_bin long, w long"), "links")
+        links.append(linked)
+        now = stage(linked.groupBy(F.col("up").alias("part"), F.col("up_bin").alias("bin")).agg(F.sum("w").alias("w")), "solutions")
+        n = now.select("part").distinct().count()
+    solved: dict[str, tuple] = {}
+    for r in now.collect():  # at most fan x bins rows
+        w, m = solved.setdefault(r.part, (np.zeros(bins, dtype=np.int64), [[] for _ in range(bins)]))
+        w[r.bin], m[r.bin] = r.w, [(r.part, r.bin)]
+    weight, members = combine([solved[k] for k in sorted(solved)])
     shares = sorted((r.split_name, max(0, r.target_pct or 0)) for r in targets.select("split_name", "target_pct").where("split_name is not null").limit(max_splits + 1).collect())
     if len(shares) > max_splits:
         raise ValueError(f"more than {max_splits} splits")
-    whole = sum(s for _, s in shares) or 1
-    lack = {name: float(weight.sum()) * s / whole for name, s in shares}
-    placed = []
-    for k in np.argsort(-weight, kind="stable"):
-        name = max(sorted(lack), key=lambda x: lack[x]) if lack else None
-        if lack:
-            lack[name] -= float(weight[k])
-        placed += [(part, int(b), name) for part, b in members[k]]
     schema = T.StructType([T.StructField("part", T.StringType()), T.StructField("bin", T.LongType()), T.StructField("split_name", T.StringType())])
-    groups = parts.join(spark.createDataFrame(placed, schema), ["part", "bin"], "left").select("group_reg_id", "split_name")
+    placed = spark.createDataFrame(place_bins(weight, members, shares), schema)
+    for linked in reversed(links):
+        up = placed.select(F.col("part").alias("up"), F.col("bin").alias("up_bin"), "split_name")
+        placed = linked.join(up, ["up", "up_bin"]).select("part", "bin", "split_name")
+    groups = parts.join(placed, ["part", "bin"], "left").select("group_reg_id", "split_name")
     return rows.join(groups, "group_reg_id").select("reg_id", "group_reg_id", "split_name")
 
 
+def split_report(splits: DataFrame, targets: DataFrame) -> DataFrame:
+    """Per split its target, its rows and groups, and how many of its groups are in another split too (always 0)."""
+    by_group = splits.groupBy("group_reg_id").agg(F.min("split_name").alias("split_name"), F.max("split_name").alias("other"), F.count("*").alias("c"))
+    got = by_group.groupBy("split_name").agg(F.sum("c").alias("n_rows"), F.count("*").alias("n_groups"), F.count_if(F.col("split_name") != F.col("other")).alias("n_torn"))
+    return targets.where("split_name is not null").join(got, "split_name", "left").select("split_name", "target_pct", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_rows", "n_groups", "n_torn")))
+
+
+def reached(splits: DataFrame, targets: DataFrame) -> DataFrame:
+    """``split_name, target_pct, reached_pct, n_torn, n_all``: the share of rows each split reached, to the percent."""
+    report = split_report(splits, targets)
+    total = report.agg(F.sum("n_rows").alias("n_all"))
+    share = F.round(100 * F.col("n_rows") / F.col("n_all")).cast("int").alias("reached_pct")
+    return report.join(F.broadcast(total)).select("split_name", "target_pct", share, F.col("n_torn").cast("int").alias("n_torn"), "n_all")  # total: one row
+
+
 def related_pairs(registry: DataFrame) -> DataFrame:
     """``(group_reg_id, reg_id)`` for each row of a group except its smallest ``reg_id``."""
     return related_rows(registry).where("reg_id != group_reg_id").select("group_reg_id", "reg_id")
