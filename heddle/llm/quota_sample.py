@@ -23,7 +23,7 @@ PREFIX_BITS = 16
 KEY_BITS = 60
 
 REPORT = T.StructType(
-    [T.StructField(n, t) for n, t in (("plan_id", T.IntegerType()), ("sample_type", T.StringType()), ("draw_rows", T.LongType()), ("asked", T.LongType()), ("available", T.LongType()), ("quota", T.LongType()), ("short_by", T.LongType()))]
+    [T.StructField(n, t) for n, t in (("plan_id", T.IntegerType()), ("sample_type", T.StringType()), ("draw_rows", T.LongType()), ("asked", T.LongType()), ("available", T.LongType()), ("quota", T.LongType()), ("short_by", T.LongType()), ("under_by", T.LongType()), ("overdrawn", T.LongType()))]
 )
 
 
@@ -72,26 +72,34 @@ def allocate(counts: dict, plans: list, targets: list) -> list:
     """Rows of REPORT. ``plans``: (plan_id, draw_pct); ``targets``: (plan_id, sample_type, target_pct, min_rows).
 
     A plan draws floor(draw_pct * N / 100) rows; shares of over 100 in all are scaled down to it, a sum under 100 draws less.
-    A target asks for the greater of its minimum and its share, rounded up; nulls count as 0.
+    A target asks for the greater of its minimum and its share, rounded up; nulls count as 0. ``short_by`` is what the rows
+    lack of it, ``under_by`` what the quota lacks of it for whatever reason, ``overdrawn`` by how many rows the minimums take the
+    plan's sample over its size. Of several targets for one type the greatest share and minimum hold. Targets of a plan that
+    is not given are reported without numbers.
     """
     n_all, rows = sum(counts.values()), []
-    for plan, pct in sorted(plans):
+    for plan, pct in sorted(set(plans), key=str):
         n = (pct or 0) * n_all // 100
-        mine = {t: (share or 0, least or 0) for p, t, share, least in targets if p == plan}
+        mine: dict = {}
+        for p, t, share, least in targets:
+            if p == plan:
+                was = mine.get(t, (0, 0))
+                mine[t] = max(share or 0, was[0]), max(least or 0, was[1])
         shares = {t: Fraction(share) for t, (share, _) in mine.items()}
         total = n * min(100, sum(shares.values(), Fraction(0))) / 100
         quota = largest_remainder(int(total), shares, {t: least for t, (_, least) in mine.items()}, {t: counts.get(t, 0) for t in mine})
         for t, (share, least) in sorted(mine.items(), key=lambda x: str(x[0])):
             asked, there = max(least, -(-share * n // 100)), counts.get(t, 0)
-            rows.append((plan, t, n, asked, there, quota[t], max(0, asked - there)))
-    return rows
+            rows.append((plan, t, n, asked, there, quota[t], max(0, asked - there), max(0, asked - quota[t]), max(0, sum(quota.values()) - int(total))))
+    known = {p for p, _ in plans}
+    return rows + [(p, t, *[None] * 7) for p, t in sorted({(p, t) for p, t, *_ in targets if p not in known}, key=str)]
 
 
 def sample_by_targets(samples: DataFrame, plans: DataFrame, targets: DataFrame, *, seed: int = 42, max_targets: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """``(sample, report)``: the rows drawn for each plan (``plan_id, sample_type, sample_id``) and what each target got.
 
-    ``report`` has ``plan_id, sample_type, draw_rows, asked, available, quota, short_by``; ``short_by`` is positive where the
-    rows do not suffice. The sizes of ``plans`` and ``targets`` are checked against ``max_targets`` before they are gathered;
+    ``report`` has ``plan_id, sample_type, draw_rows, asked, available, quota, short_by, under_by, overdrawn`` (see ``allocate``);
+    ``short_by`` is positive where the rows do not suffice. The sizes of ``plans`` and ``targets`` are checked against ``max_targets`` before they are gathered;
     the counts are one row per category that a target may name. Empty tables give an empty sample and full shortfalls.
     """
     spark = samples.sparkSession
