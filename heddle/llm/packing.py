@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from heddle.session import stage
+from heddle.session import local_file, put_file, stage
 
 #: Fixed value: how the tokenizer's vocabulary splits texts into words before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -41,10 +41,15 @@ def encoder(path: str):
 
 
 def token_counts(documents: DataFrame, vocabulary: str) -> DataFrame:
-    """``(doc_id, n_tokens)`` for every document that has tokens; null and empty texts have none."""
+    """``(doc_id, n_tokens)`` for every document that has tokens; null and empty texts have none.
+
+    The driver reads the file ``vocabulary`` and gives it to every executor through the shared folder.
+    """
+    with open(vocabulary, "rb") as f:
+        shipped = put_file(documents.sparkSession, "vocabulary", f.read())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = encoder(vocabulary)
+        e = encoder(local_file(shipped))
         for p in batches:
             yield pd.DataFrame({"doc_id": p["doc_id"], "n_tokens": [len(e.encode_ordinary(t)) for t in p["text"]]})
 
@@ -104,13 +109,13 @@ class Patterns:
         return 0
 
 
-def pack(documents: DataFrame, limits: DataFrame, vocabulary: str, *, group: int = 8, per_rank_task: int = 1_000_000, max_limits: int = 1_000, max_capacity: int = 10_000_000) -> DataFrame:
+def pack(documents: DataFrame, limits: DataFrame, vocabulary: str, *, group: int = 8, per_rank_task: int = 1_000_000, most_slots: int = 2_000_000, max_limits: int = 1_000, max_capacity: int = 10_000_000) -> DataFrame:
     """``(limit_id, container_id, step_id, doc_id, piece_no, first_token, n_tokens)``: every piece in one container.
 
     ``limits`` has ``limit_id, capacity_tokens`` (at most ``max_limits`` rows up to ``max_capacity``, checked: the histogram
     has one entry per length up to the capacity). Of equal capacities the least id is used. A text longer than the largest
     container is cut into full containers and a rest that is packed like a document. Equal lengths are ranked by a hash of
-    the document, then its id. Documents without tokens are in no container; an empty corpus gives no rows. Without limits
+    the document, then its id. The table of slots is broadcast up to ``most_slots`` rows and joined by length beyond. Documents without tokens are in no container; an empty corpus gives no rows. Without limits
     a ValueError is raised.
     """
     spark = documents.sparkSession
@@ -152,8 +157,7 @@ def pack(documents: DataFrame, limits: DataFrame, vocabulary: str, *, group: int
     before = per_salt.withColumn("base", F.sum("c").over(Window.partitionBy("n").orderBy("salt")) - F.col("c")).select("n", "salt", "base")
     ranked = salted.withColumn("r", F.row_number().over(Window.partitionBy("n", "salt").orderBy(F.xxhash64("doc_id"), "doc_id", "piece_no")) - 1)
     ranked = ranked.join(before, ["n", "salt"]).withColumn("r", F.col("r") + F.col("base"))
-    # slots: patterns are at most a few per length up to the capacity
-    placed = ranked.join(F.broadcast(table), "n").where("r >= lo and r < hi")
+    placed = ranked.join(F.broadcast(table) if len(slots) <= most_slots else table, "n").where("r >= lo and r < hi")
     copy = F.floor((F.col("r") - F.col("lo")) / F.col("each"))
     position = F.col("at") + copy
     turn, spot = F.floor(position / F.col("n_steps")), F.pmod(position, F.col("n_steps"))
@@ -167,3 +171,13 @@ def fill_report(packed: DataFrame, limits: DataFrame) -> DataFrame:
     boxes = packed.groupBy("limit_id", "container_id").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("pieces"))
     by = boxes.groupBy("limit_id").agg(F.count("*").alias("n_containers"), F.sum("tokens").alias("n_tokens"), F.sum("pieces").alias("n_pieces"))
     return by.join(limits, "limit_id").select("limit_id", "n_containers", "n_tokens", "n_pieces", (F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens"))).alias("fill"))
+
+
+def audit(packed: DataFrame, limits: DataFrame) -> DataFrame:
+    """One row: documents placed, containers over their capacity, documents cut though they fit, documents with tokens missing."""
+    most = limits.agg(F.max("capacity_tokens").alias("most"))
+    boxes = packed.groupBy("limit_id", "container_id").agg(F.sum("n_tokens").alias("tokens")).join(F.broadcast(limits.select("limit_id", "capacity_tokens")), "limit_id")
+    docs = packed.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("tokens"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end")).join(F.broadcast(most))
+    by_doc = docs.agg(F.count("*").alias("n_documents"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= F.col("most"))).cast("int").alias("n_needless_cuts"), F.count_if(F.col("tokens") != F.col("end")).cast("int").alias("n_gaps"))
+    over = boxes.agg(F.count_if(F.col("tokens") > F.col("capacity_tokens")).cast("int").alias("n_overfull"))
+    return by_doc.join(F.broadcast(over)).select("n_documents", "n_overfull", "n_needless_cuts", "n_gaps")  # one row each
