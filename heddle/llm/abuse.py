@@ -11,6 +11,8 @@ running sums and a document costs time in proportion to its length. Scores follo
 
 from __future__ import annotations
 
+import math
+import pickle
 import re
 import unicodedata
 from collections import Counter
@@ -22,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm.common import BLANK, random_key
-from heddle.llm.leakage import _TRANSLATE
+from heddle.llm.leakage import LOOKALIKES_AND_HIDDEN
+from heddle.session import local_file, put_file, stage
 
 BITS = 18
 WINDOW, STRIDE = 12, 3
@@ -49,7 +52,7 @@ _TOKEN = re.compile(r"[^\W_]+(?:[*@$'’][^\W_]*)*|[*@$][^\W_*@$]+[^\s.,;!?]*")
 def plain(text: str) -> str:
     """Lower case without lookalike letters, hidden characters, letters set apart and letters drawn out."""
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text).translate(_TRANSLATE)
+        text = unicodedata.normalize("NFKC", text).translate(LOOKALIKES_AND_HIDDEN)
     text = _SPACED.sub(lambda m: re.sub(r"[ .\-_·]", "", m[0]) if any(c.isalpha() for c in m[0]) else m[0], " ".join(text.lower().split()))
     return _RUN.sub(r"\1", text)
 
@@ -196,10 +199,10 @@ def is_group(w: str) -> bool:
 
 
 class AbuseModel:
-    """Weights, bias, threshold and the words needed to apply them; small enough to go with each task."""
+    """Weights, bias, the share of texts that are abusive and the words needed to apply them."""
 
-    def __init__(self, words: Words, weights: np.ndarray, bias: float, threshold: float) -> None:
-        self.words, self.weights, self.bias, self.threshold = words, weights.astype(np.float32), bias, threshold
+    def __init__(self, words: Words, weights: np.ndarray, bias: float, share: float) -> None:
+        self.words, self.weights, self.bias, self.share = words, weights.astype(np.float32), bias, share
 
     def score(self, texts: list[list[str]]) -> np.ndarray:
         """The greatest window probability of each text; 0 for texts without words."""
@@ -220,15 +223,27 @@ class AbuseModel:
         return out
 
 
-def train(texts: list[str], labels: np.ndarray, *, seed: int = 42, alternations: int = 3, l2: float = 2e-6, fairness: float = 0.5, doubt: float = 0.15, threshold: float = 0.08) -> AbuseModel:
+def true_share(labels: np.ndarray, scores: np.ndarray, weights: np.ndarray) -> float:
+    """The share of abusive texts among the reviewed ones, without the wrong labels, from scores of models that did not see them.
+
+    The labels of the least suspicious three tenths show how many harmless texts are labelled abusive; abusive ones labelled
+    harmless are not made up for.
+    """
+    low = scores <= np.quantile(scores, 0.3)
+    false = np.average(labels[low], weights=weights[low])
+    return float(max(0, np.average(labels, weights=weights) - false) / max(0.1, 1 - false))
+
+
+def train(texts: list[str], labels: np.ndarray, weights: np.ndarray | None = None, *, seed: int = 42, alternations: int = 3, l2: float = 2e-6, fairness: float = 0.5, doubt: float = 0.15) -> AbuseModel:
     """Fits on labelled texts, without those whose label a model of the other half of the texts contradicts.
 
-    ``doubt`` is the probability of its label under which a text is left out. Without both labels nothing is ever flagged.
+    ``doubt`` is the probability of its label under which a text is left out. ``weights`` say how many reviewed texts each one
+    stands for. Without both labels nothing is ever flagged.
     """
     raw = [_TOKEN.findall(plain(t)) for t in texts]
     words = Words(Counter(w for t in raw for w in {*t} if w.isalpha()))
     if not len(labels) or labels.min() == labels.max():
-        return AbuseModel(words, np.zeros(2**BITS), -30.0, 1.0)
+        return AbuseModel(words, np.zeros(2**BITS), -30.0, 0.0)
     tokens = [[w for t in r for w in words.resolve(t)] for r in raw]
     rng = np.random.default_rng(seed)
     fold, other = rng.random(len(tokens)) < 0.5, np.zeros(len(tokens))
@@ -240,8 +255,8 @@ def train(texts: list[str], labels: np.ndarray, *, seed: int = 42, alternations:
             other[part] = labels[part]
     wrong = ((labels == 1) & (other < doubt)) | ((labels == 0) & (other > 1 - doubt))
     good = np.flatnonzero(~wrong) if len(set(labels[~wrong])) == 2 else np.arange(len(tokens))
-    weights, bias = _alternate([tokens[i] for i in good], labels[good], rng, alternations, l2, fairness)
-    return AbuseModel(words, weights, bias, threshold)
+    share = true_share(labels, other, np.ones(len(labels)) if weights is None else weights)
+    return AbuseModel(words, *_alternate([tokens[i] for i in good], labels[good], rng, alternations, l2, fairness), share)
 
 
 def _alternate(tokens: list[list[str]], labels: np.ndarray, rng: np.random.Generator, alternations: int, l2: float, fairness: float) -> tuple[np.ndarray, float]:
@@ -301,39 +316,65 @@ def _swaps(e: Encoder, first: np.ndarray, end: np.ndarray, rng: np.random.Genera
     return (np.concatenate(rows), np.concatenate(ids), np.concatenate(values)), len(hit)
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, size: int, seed: int) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most ``size`` abusive and twice as many other documents, drawn by smallest random key.
+def labelled_sample(documents: DataFrame, labels: DataFrame, size: int, seed: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Texts, labels and weights of at most ``size`` abusive and twice as many other documents, drawn by smallest random key.
 
-    A document's label is the majority of its non-null labels; even splits and null or blank texts are left out.
+    A document's label is the majority of its non-null labels; even splits and null or blank texts are left out. The ids, three
+    times ``size`` at most, are broadcast, so the texts are not shuffled.
     """
     votes = labels.where("abusive is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("abusive").alias("share")).where("share != 0.5")
     votes = votes.select("doc_id", (F.col("share") > 0.5).cast("int").alias("y"), random_key(seed, F.col("doc_id")).alias("k"))
+    voted = {r.y: r.n for r in votes.groupBy("y").agg(F.count("*").alias("n")).collect()}
     rows = [votes.where(F.col("y") == y).orderBy("k", "doc_id").limit(size * (2 - y)) for y in (0, 1)]
-    got = documents.select("doc_id", "text").join(rows[0].unionByName(rows[1]), "doc_id").where(F.length(F.regexp_replace("text", f"{BLANK}+", "")) > 0).orderBy("k", "doc_id").select("text", "y").toLocalIterator()
+    got = documents.select("doc_id", "text").join(F.broadcast(rows[0].unionByName(rows[1])), "doc_id").where(F.length(F.regexp_replace("text", f"{BLANK}+", "")) > 0).orderBy("k", "doc_id").select("text", "y").toLocalIterator()
     texts, y = [], []
     for r in got:
         texts.append(r.text)
         y.append(r.y)
-    return texts, np.array(y, dtype=np.int64)
+    y = np.array(y, dtype=np.int64)
+    return texts, y, np.array([voted.get(k, 0) / max(1, (y == k).sum()) for k in (0, 1)])[y] if len(y) else np.zeros(0)
+
 
+_models: dict[tuple, tuple] = {}
 
-def score_documents(documents: DataFrame, labels: DataFrame, *, train_size: int = 4_000, seed: int = 42) -> DataFrame:
+
+def stored_model(documents: DataFrame, labels: DataFrame, train_size: int, seed: int) -> tuple[str, float]:
+    """The file of the model fitted on these tables, and its share; fitted once an application for all its queries."""
+    key = (documents.sparkSession.sparkContext.applicationId, documents.semanticHash(), labels.semanticHash(), train_size, seed)
+    if key not in _models:
+        model = train(*labelled_sample(documents, labels, train_size, seed), seed=seed)
+        _models[key] = put_file(documents.sparkSession, "abuse-model", pickle.dumps(model, protocol=5)), model.share
+    return _models[key]
+
+
+def score_documents(documents: DataFrame, labels: DataFrame, *, train_size: int = 4_000, seed: int = 42, least_score: float = 0.02) -> DataFrame:
     """``(doc_id, source, score, abusive)`` for every document; null and blank texts score 0.
 
-    The classifier is fitted on the driver from ``train_size`` abusive and twice as many other documents at most; everything else runs over all
-    rows. Repeated documents are scored alike under each id, extra columns are not read, empty tables give no rows.
+    The classifier is fitted on the driver from ``train_size`` abusive and twice as many other documents at most and given to
+    the executors as a file; everything else runs over all rows. The threshold is where the share of documents above it equals
+    the share of abusive ones among the reviewed, wrong labels taken off (reviewed documents are taken to be a random sample),
+    but ``least_score`` at least; it is read from a histogram of all scores in steps of a hundredth of their log-odds. Repeated
+    documents are scored alike under each id, extra columns are not read, empty tables give no rows.
     """
-    texts, y = labelled_sample(documents, labels, train_size, seed)
-    model = train(texts, y, seed=seed)
+    name, share = stored_model(documents, labels, train_size, seed)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with open(local_file(name), "rb") as f:
+            model = pickle.load(f)
         for p in batches:
             for i in range(0, len(p), 500):
                 part = p.iloc[i : i + 500]
-                s = model.score([model.words.of(t) for t in part["text"]])
-                yield pd.DataFrame({"doc_id": part["doc_id"], "source": part["source"], "score": s, "abusive": s >= model.threshold})
-
-    return documents.select("doc_id", "source", "text").mapInPandas(run, "doc_id long, source string, score double, abusive boolean")
+                yield pd.DataFrame({"doc_id": part["doc_id"], "source": part["source"], "score": model.score([model.words.of(t) for t in part["text"]])})
+
+    scores = stage(documents.select("doc_id", "source", "text").mapInPandas(run, "doc_id long, source string, score double"), "abuse-scores")
+    odds = F.floor(100 * F.log(F.col("score") / (1 - F.least("score", F.lit(1 - 1e-12)))))
+    steps = sorted(((r.b, r.n) for r in scores.where("score > 0").groupBy(odds.alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True)  # at most 6,000 steps
+    room, threshold = share * sum(n for _, n in steps), 2.0
+    for b, n in steps:
+        if room < n / 2:
+            break
+        room, threshold = room - n, 1 / (1 + math.exp(-b / 100))
+    return scores.withColumn("abusive", F.col("score") >= max(threshold, least_score))
 
 
 def abusive_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:

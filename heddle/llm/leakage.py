@@ -43,7 +43,7 @@ WIDTHS = (GRAIN, PIECE, *SIZES)
 #: Letters of other scripts that look like Latin ones, and characters without width.
 LOOKALIKES = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "һ": "h", "ԁ": "d", "ո": "n", "ν": "v", "ο": "o", "α": "a", "ι": "i", "ρ": "p", "τ": "t", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "І": "I", "Ѕ": "S", "Ј": "J"}
 WIDTHLESS = "​‌‍⁠﻿­͏᠎"
-_TRANSLATE = {ord(a): b for a, b in LOOKALIKES.items()} | {ord(c): None for c in WIDTHLESS}
+LOOKALIKES_AND_HIDDEN = {ord(a): b for a, b in LOOKALIKES.items()} | {ord(c): None for c in WIDTHLESS}
 
 _INLINE = re.compile(r"</?(?:a|b|i|u|s|em|span|strong|font|mark|small|code|sub|sup)(?:\s[^<>]*)?/?>", re.I)
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
@@ -62,7 +62,7 @@ def words(text: str | None) -> list[str]:
     if "<" in text:
         text = _TAG.sub(" ", _INLINE.sub("", text))
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text).translate(_TRANSLATE)
+        text = unicodedata.normalize("NFKC", text).translate(LOOKALIKES_AND_HIDDEN)
     if "\n" in text:
         text = _BROKEN.sub("", text)
     if ":" in text or "[" in text or "(" in text:
