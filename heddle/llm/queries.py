@@ -27,22 +27,31 @@ def _pack(s: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(s, d, "documents"), table(s, d, "pack_limits"), default_vocabulary())
 
 
+def _parts(s: SparkSession, d: str) -> DataFrame:
+    table(s, d, "fork_samples", "sample_id")  # gives the package to the executors
+    return conversations.closed_parts(s, f"{d}/fork_samples.parquet")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     t = table
     return {
         "p1_found": _fork(quota_sample.unmet_targets),
         "p1_sample": _fork(lambda *x: quota_sample.sample_by_targets(*x)[0]),
         "p1_report": _fork(lambda *x: quota_sample.sample_by_targets(*x)[1]),
-        "p2_found": lambda s, d: conversations.left_out(conversations.rebuild(s, f"{d}/fork_samples.parquet")),
-        "p2_conversations": lambda s, d: conversations.rebuild(s, f"{d}/fork_samples.parquet").where("reason is null").drop("reason"),
+        "p2_found": lambda s, d: conversations.left_out(_parts(s, d)),
+        "p2_conversations": lambda s, d: conversations.rebuild(_parts(s, d)).where("reason is null").drop("reason"),
+        "p2_turns": lambda s, d: conversations.turn_counts(_parts(s, d)),
         "p3_found": lambda s, d: truncation.truncated_replies(t(s, d, "chunk_evidence"), t(s, d, "video_registry")),
         "p3_rates": lambda s, d: truncation.truncation_rates(t(s, d, "chunk_evidence"), t(s, d, "video_registry")),
         "p3_limits": lambda s, d: truncation.judge(t(s, d, "chunk_evidence"), t(s, d, "video_registry"))[1],
         "p4_found": lambda s, d: group_split.related_pairs(t(s, d, "video_registry")),
         "p4_splits": lambda s, d: group_split.assign_splits(t(s, d, "video_registry"), t(s, d, "split_targets")),
+        "p4_report": lambda s, d: group_split.split_report(group_split.assign_splits(t(s, d, "video_registry"), t(s, d, "split_targets")), t(s, d, "split_targets")),
+        "p4_reached": lambda s, d: group_split.reached(group_split.assign_splits(t(s, d, "video_registry"), t(s, d, "split_targets")), t(s, d, "split_targets")),
         "p5_found": lambda s, d: pair_defects.defective_pairs(t(s, d, "messages")),
         "p6_pack": _pack,
         "p6_fill": lambda s, d: packing.fill_report(_pack(s, d), t(s, d, "pack_limits")),
+        "p6_audit": lambda s, d: packing.audit(_pack(s, d), t(s, d, "pack_limits")),
         "p7_found": lambda s, d: leakage.leaked_pairs(t(s, d, "documents"), t(s, d, "eval_items")),
         "p7_items": lambda s, d: leakage.leaked_items(t(s, d, "documents"), t(s, d, "eval_items")),
         "p8_found": lambda s, d: abuse.abusive_documents(t(s, d, "documents"), t(s, d, "review_labels")),
@@ -64,9 +73,9 @@ SELECT g.plan_id, g.sample_type FROM draw_targets g JOIN drawn USING (plan_id) L
 WHERE greatest(g.min_rows, (g.target_pct * n + 99) // 100) > coalesce(u.c, 0)
 """
 
-P2 = rf"""
+_P2 = rf"""
 WITH raw AS (
-  SELECT sample_id, video_id, trajectory_id, card_id, chunk_idx, logged_at, output, {_CLEAN} AS t, user_input
+  SELECT sample_id, video_id, trajectory_id, card_id, chunk_idx, logged_at, output, recall_result, {_CLEAN} AS t, user_input
   FROM fork_samples WHERE trajectory_id <> '' AND card_id <> '' AND video_id IS NOT NULL),
 v AS (SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY logged_at DESC, output DESC) = 1),
 r AS (SELECT *, t IN {_TYPES} AS usable,
@@ -78,8 +87,22 @@ k AS (SELECT video_id, trajectory_id, card_id, bool_or(chunk_idx IS NULL OR usab
 o AS (SELECT DISTINCT video_id, trajectory_id, card_id FROM (
     SELECT video_id, trajectory_id, card_id, chunk_idx FROM r GROUP BY ALL
     HAVING bool_or(t = 'recall_query') AND NOT coalesce(bool_or(t IN ('recall_response', 'recall_silent')), false)))
-SELECT k.video_id, k.trajectory_id, k.card_id FROM k LEFT JOIN o USING (video_id, trajectory_id, card_id)
-WHERE k.broken OR k.q IS NULL OR k.a IS NULL OR k.a < k.q OR o.video_id IS NOT NULL
+"""
+
+_OUT = "(k.broken OR k.q IS NULL OR k.a IS NULL OR k.a < k.q OR o.video_id IS NOT NULL)"
+
+P2 = rf"""{_P2}
+SELECT k.video_id, k.trajectory_id, k.card_id FROM k LEFT JOIN o USING (video_id, trajectory_id, card_id) WHERE {_OUT}
+"""
+
+P2_TURNS = rf"""{_P2},
+sound AS (SELECT k.video_id, k.trajectory_id, k.card_id FROM k LEFT JOIN o USING (video_id, trajectory_id, card_id) WHERE NOT coalesce({_OUT}, true)),
+said AS (SELECT video_id, trajectory_id, card_id, chunk_idx, coalesce(q, 0) AS u,
+    CASE WHEN regexp_replace(recall_result, '\s+', '', 'g') <> '' THEN 1 ELSE 0 END AS tool,
+    CASE WHEN regexp_replace(output, '\s+', '', 'g') <> '' THEN 1 ELSE 0 END AS said FROM r JOIN sound USING (video_id, trajectory_id, card_id))
+SELECT video_id, trajectory_id, card_id, sum(u)::BIGINT AS n_user, sum(tool)::BIGINT AS n_tool, sum(said)::BIGINT AS n_assistant,
+  min(chunk_idx) AS first_chunk, max(chunk_idx) AS last_chunk
+FROM said WHERE u + tool + said > 0 GROUP BY ALL
 """
 
 P4 = r"""
@@ -103,5 +126,16 @@ SELECT min(b) AS group_reg_id, a AS reg_id FROM reach GROUP BY a HAVING min(b) <
 """
 
 
+#: What balanced splits must show: every target met to the percent, no group in two splits, every row in one.
+P4_REACHED = """
+SELECT split_name, target_pct, target_pct AS reached_pct, 0 AS n_torn, (SELECT count(*) FROM video_registry WHERE reg_id IS NOT NULL) AS n_all FROM split_targets
+"""
+
+#: What a packing must show: all documents with tokens placed whole or cut where they must be, no container over its capacity.
+P6_AUDIT = """
+SELECT (SELECT count(*) FROM documents WHERE text <> '' AND doc_id IS NOT NULL) AS n_documents, 0 AS n_overfull, 0 AS n_needless_cuts, 0 AS n_gaps
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1, "p2_found": P2, "p4_found": P4}
+    return {"p1_found": P1, "p2_found": P2, "p2_turns": P2_TURNS, "p4_found": P4, "p4_reached": P4_REACHED, "p6_audit": P6_AUDIT}

@@ -39,6 +39,12 @@ def test_quota_sample(spark):
     assert {r.sample_id for r in drawn.where("sample_type = 'silent'").collect()} == set(sorted(keys, key=keys.get)[: quotas["silent"]])
 
 
+def test_quotas_report_overdraw_and_repeats():
+    rows = quota_sample.allocate({"a": 50, "b": 50}, [(1, 10)], [(1, "a", 50, 8), (1, "b", 50, 8), (1, "b", 40, 2), (9, "a", 1, 1)])
+    got = {(r[0], r[1]): r[5:] for r in rows}
+    assert got == {(1, "a"): (8, 0, 0, 6), (1, "b"): (8, 0, 0, 6), (9, "a"): (None,) * 4}
+
+
 def test_quota_sample_empty(spark):
     p, t = plans(spark)
     drawn, report = quota_sample.sample_by_targets(spark.createDataFrame([], SAMPLES), p, t)
@@ -68,22 +74,61 @@ def test_conversations(spark, tmp_path):
         *[sample(9, 1, "response", "  ", yes, card="noq"), sample(10, 1, "compress", "<t/>", yes, card="trig")],
         *[sample(11, 1, "recall_query", "Q?", None, card="open"), sample(12, 200, "recall_response", None, yes, card="open")],
         *[sample(13, 1, "recall-query", "Q?", None, card="shut"), sample(14, 1, "recall silent", None, "", card="shut"), sample(15, 300, "recall_response", None, yes, card="shut")],
+        *[sample(20, 2, "response", "Q?", yes, card="far"), sample(20, 300, "response", "Q?", "", at=9, card="far")],  # the newer version is in another block
+        *[sample(21, 2, "response", "Q?", yes, card="undated"), (*sample(22, None, card="undated")[:9], None, "clash")],
+        *[sample(23, 2, "response", "Q?", yes, card="twice"), sample(24, 2, "silent", "Q?", yes, card="twice"), sample(24, 900, "silent", "Q?", yes, at=1, card="twice")],
         sample(16, 1, "response", "Q?", yes, card=""),
         sample(17, 1, "response", "Q?", yes, card=None),
     ]
     path = str(tmp_path / "s.parquet")
     spark.createDataFrame(rows, SAMPLES).repartition(3).write.parquet(path)
-    out = conversations.rebuild(spark, path)
-    assert {r.card_id: r.reason for r in out.select("card_id", "reason").distinct().collect()} == {"ok": None, "late": None, "lost": "unanswered", "early": "unanswered", "nochunk": "broken", "notype": "broken", "noq": "empty", "trig": "empty", "open": "open_recall", "shut": None}
+    found = conversations.closed_parts(spark, path)
+    out = conversations.rebuild(found)
+    assert {r.card_id: r.reason for r in out.select("card_id", "reason").distinct().collect()} == {"ok": None, "late": None, "lost": "unanswered", "early": "unanswered", "nochunk": "broken", "notype": "broken", "noq": "empty", "trig": "empty", "open": "open_recall", "shut": None, "far": "unanswered", "undated": "broken", "twice": None}
     turns = out.where("card_id = 'ok'").first().turns
     assert [(t.chunk_idx, t.role) for t in turns] == [(3, "user"), (5, "assistant")]
-    assert conversations.left_out(out).count() == 7
+    assert conversations.left_out(found).count() == 9 and out.count() == len(set(KEYS(out)))
+
+
+def KEYS(df):
+    return [tuple(r) for r in df.select(*conversations.KEY).collect()]
+
+
+def test_live_conversations_and_late_rows(spark, tmp_path):
+    """Sessions close on their own; a row and a version that come after closing are reconciled."""
+    yes, day, path = "<answer>yes</answer>", 86_400, str(tmp_path / "s.parquet")
+    batches = [
+        [sample(1, 1, "response", "Q?", yes, card="a"), sample(2, 1, "silent", "Q?", "", card="b"), sample(6, 70, "recall_query", None, None, card="a")],
+        [sample(3, 1, "response", "Q?", yes, at=30 * day, card="c")],
+        [sample(4, 2, "response", None, yes, at=60, card="b"), sample(1, 1, "response", "Q?", "", at=120, card="a"), sample(7, 70, "recall_silent", None, None, at=9, card="a"), sample(5, 1, "silent", "Q?", "", at=60 * day, card="c")],
+    ]
+    stream = conversations.ConversationStream(spark, "1 hour", "2 hours")
+    for rows in batches:
+        spark.createDataFrame(rows, SAMPLES).coalesce(1).write.mode("append").parquet(path)
+        stream.run(path, files_per_batch=1)
+    closed = stream.parts()
+    assert {k[2] for k in KEYS(closed)} >= {"a", "b"}  # before the input ends
+    stream.run(path, closed=True)
+    reason = lambda found: {r.card_id: r.reason for r in conversations.verdicts(found).collect()}
+    assert reason(stream.parts()) == {"a": "open_recall", "b": "unanswered", "c": None}
+    late = stream.late_rows(path)
+    assert late.count() == 3
+    assert reason(conversations.reconcile(stream.parts(), late)) == {"a": "unanswered", "b": None, "c": None}
+
+
+def test_long_conversations_continue_in_numbered_rows(spark, tmp_path):
+    path = str(tmp_path / "l.parquet")
+    spark.createDataFrame([sample(i, i, "response", "Q?", "<answer>a</answer>") for i in range(300)], SAMPLES).write.parquet(path)
+    found = conversations.closed_parts(spark, path)
+    rows = sorted(conversations.rebuild(found, most_rows=100).collect(), key=lambda r: r.part_no)
+    assert len(rows) > 1 and [t.chunk_idx for r in rows for t in r.turns] == sorted(t for t in range(300) for _ in (0, 1))
+    assert conversations.rebuild(found).count() == 1
 
 
 def test_no_conversations(spark, tmp_path):
     path = str(tmp_path / "e.parquet")
     spark.createDataFrame([], SAMPLES).coalesce(1).write.parquet(path)
-    assert conversations.rebuild(spark, path).count() == 0
+    assert conversations.rebuild(conversations.closed_parts(spark, path)).count() == 0
 
 
 # 3
@@ -192,6 +237,15 @@ def test_components_against_brute_force(spark):
     assert got == {x: find(x) for x in root if find(x) != x}
 
 
+def test_blocks_are_combined_in_levels(spark):
+    rng = random.Random(14)
+    rows = [(i, f"{i:011d}".replace("0", "a"), "", 1.0, "x", f"u{rng.randrange(60)}" if i % 3 else None, "") for i in range(400)]
+    targets = spark.createDataFrame([("train", 70), ("test", 30)], "split_name string, target_pct int")
+    splits = group_split.assign_splits(spark.createDataFrame(rows, REGISTRY).repartition(6), targets, bins=20, block=5, fan=2)
+    got = {r.split_name: r for r in group_split.reached(splits, targets).collect()}
+    assert abs(got["train"].reached_pct - 70) <= 2 and all(r.n_torn == 0 and r.n_all == 400 for r in got.values())
+
+
 def test_differencing_balances():
     rng = np.random.default_rng(5)
     w = rng.integers(1, 50, 500)
