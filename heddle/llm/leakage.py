@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import hashlib
 import html
-import io
 import math
 import re
 import unicodedata
@@ -175,6 +174,10 @@ class Segment:
             prints, at, width = [*prints, p], [*at, where], [*width, np.full(len(p), w)]
         self.prints, self.at, self.width = np.concatenate(prints), np.concatenate(at), np.concatenate(width)
         self.owner = t.owner
+        self.tabulate()
+
+    def tabulate(self) -> None:
+        """The tables over the fingerprints. They are many times as large, so a worker makes them when it opens the segment."""
         self.tables, shift = [], 0
         for bits in BLOCKS:
             key = self.key(self.prints, shift, bits)
@@ -185,6 +188,13 @@ class Segment:
             self.tables.append((starts, who[np.argsort(near, kind="stable")].astype(np.int32)))
             shift += bits
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "tables"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.tabulate()
+
     @staticmethod
     def key(prints: np.ndarray, shift: int, bits: int) -> np.ndarray:
         return ((prints >> np.uint64(shift)) & np.uint64(2**bits - 1)).astype(np.int64)
