@@ -76,3 +76,9 @@ def source_ladder(path: Column) -> Column:
 
 def estimated_tokens(c: Column) -> Column:
     return F.floor(F.length(F.coalesce(c, F.lit(""))) / 4)
+
+
+def signed_length(c: Column, visual: Column) -> Column:
+    """The number of words, negative where pictures belong to the text."""
+    n = F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
+    return F.when(visual, -n).otherwise(n)

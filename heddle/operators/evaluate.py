@@ -26,19 +26,25 @@ def confusion(df: DataFrame, row: str, column: str, values: list) -> DataFrame:
     return df.groupBy(row).agg(*(F.count_if(F.col(column) == v).alias(f"n_{v}") for v in values))
 
 
-def timing_reward(answer: Column, start: Column, end: Column, decay: float = 0.5) -> Column:
-    """1 in the window, -1 before it, ``decay`` per missed unit after it, -0.5 without an answer."""
-    return F.when(answer.isNull(), -0.5).when(answer < start, -1.0).when(answer <= end, 1.0).otherwise(F.pow(F.lit(decay), (answer - end).cast("double")))
-
-
 def last_n_mean(df: DataFrame, keys: list[str], step: str, value: str, n: int) -> DataFrame:
-    """The mean of the last ``n`` values of each key, and of all its values."""
+    """The mean of the last ``n`` values of each key, the mean of all its values, and their difference.
+
+    All values are averaged by partial aggregation; only ``n`` rows a key and task are ordered.
+    """
     w = Window.partitionBy(*keys).orderBy(F.col(step).desc())
-    rows = df.withColumn("_r", F.row_number().over(w))
-    return rows.groupBy(*keys).agg(F.avg(F.when(F.col("_r") <= n, F.col(value))).alias("last_mean"), F.avg(value).alias("mean"))
+    last = df.select(*keys, step, value).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).groupBy(*keys).agg(F.avg(value).alias("last_mean"))
+    out = df.groupBy(*keys).agg(F.avg(value).alias("mean")).join(last, keys, "left")
+    return out.withColumn("delta", F.col("last_mean") - F.col("mean"))
+
+
+def per_class(df: DataFrame, cls: str, loss: str, weight: str) -> DataFrame:
+    """Rows, mean loss, mean weight and share of all rows per class, and for ``_all`` together."""
+    out = df.rollup(cls).agg(F.grouping(cls).alias("_g"), F.count("*").alias("n"), F.avg(loss).alias("mean_loss"), F.avg(weight).alias("mean_weight"))
+    total = F.max(F.when(F.col("_g") == 1, F.col("n"))).over(Window.partitionBy())  # one row a class
+    return out.select(F.when(F.col("_g") == 1, "_all").otherwise(F.col(cls)).alias(cls), "n", "mean_loss", "mean_weight", (F.col("n") / total).alias("fraction"))
 
 
 def profile(df: DataFrame, dims: list[str], value: str) -> DataFrame:
-    """Counts and sums by each dimension alone: one pass with grouping sets."""
+    """Counts and sums by each dimension alone: one pass over rows that stand once per dimension."""
     rows = df.select(F.inline(F.array(*(F.struct(F.lit(d).alias("dim"), F.coalesce(F.col(d).cast("string"), F.lit("(none)")).alias("name")) for d in dims))), F.col(value).alias("_v"))
     return rows.groupBy("dim", "name").agg(F.count("*").alias("n"), F.sum("_v").alias("total"))

@@ -83,9 +83,9 @@ def last_before(df: DataFrame, keys: list[str], order: list[str], is_fact: Colum
 
 
 def next_after(df: DataFrame, keys: list[str], order: list[str], is_fact: Column, value: str, out: str) -> DataFrame:
-    """As-of lookup forwards: the first fact after each row."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    return df.withColumn(out, F.first(F.when(is_fact, F.col(value)), ignorenulls=True).over(w))
+    """As-of lookup forwards: the first fact after each row, as the last one before it in reverse order (a growing frame)."""
+    w = Window.partitionBy(*keys).orderBy(*(F.col(o).desc() for o in order)).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn(out, F.last(F.when(is_fact, F.col(value)), ignorenulls=True).over(w))
 
 
 def answered_in_window(asks: DataFrame, answers: DataFrame, keys: list[str], at: str, wait: int) -> DataFrame:
@@ -94,9 +94,9 @@ def answered_in_window(asks: DataFrame, answers: DataFrame, keys: list[str], at:
     ``asks`` and ``answers`` have ``keys`` and ``at``; several at one position count once, an answer follows an ask there.
     """
     rows = asks.select(*keys, at, F.lit(0).alias("_k")).distinct().unionByName(answers.select(*keys, at, F.lit(1).alias("_k")).distinct())
-    w = Window.partitionBy(*keys).orderBy(at, "_k")
-    rows = rows.withColumn("_a", F.first(F.when(F.col("_k") == 1, F.col(at)), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
-    rows = rows.withColumn("_n", F.first(F.when(F.col("_k") == 0, F.col(at)), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    for k, out in ((1, "_a"), (0, "_n")):
+        rows = rows.withColumn("_p", F.col(at))
+        rows = next_after(rows, keys, [at, "_k"], F.col("_k") == k, "_p", out)
     upto = F.least(F.col(at) + wait, F.coalesce(F.col("_n") - 1, F.col(at) + wait))
     return rows.where("_k = 0").select(*keys, F.col(at).alias("ask"), F.when(F.col("_a") <= upto, F.col("_a")).alias("answer"))
 
