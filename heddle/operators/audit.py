@@ -138,3 +138,28 @@ def levels(df: DataFrame, rules: dict[str, list[dict]], otherwise: str, out: str
 def keep_first(df: DataFrame, keys: list[str], order: list, n: int = 1) -> DataFrame:
     """The first ``n`` rows of each key; Spark limits each group before the shuffle as well as after."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+
+
+def most_common(df: DataFrame, keys: list[str], value: str, k: int) -> DataFrame:
+    """``keys, value, n, rank``: the ``k`` most frequent values of each key; ties go to the lesser value."""
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*keys).orderBy(F.desc("n"), value)
+    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def group_sizes(df: DataFrame, key: str) -> DataFrame:
+    """One row that describes how large the groups of ``key`` are; null is no group."""
+    g = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    return g.agg(F.count("*").alias("n_groups"), F.avg("_n").alias("mean"), F.stddev_samp("_n").alias("std"), F.min("_n").alias("least"), F.max("_n").alias("most"), F.median("_n").alias("median"))
+
+
+def flags(df: DataFrame, rates: dict) -> DataFrame:
+    """``name, value, flagged`` of each aggregate in ``rates`` (``{name: (aggregate, bound)}``): flagged where it is over its bound."""
+    row = df.agg(*(a.alias(k) for k, (a, _) in rates.items()))
+    return row.select(F.inline(F.array(*(F.struct(F.lit(k).alias("name"), F.col(k).alias("value"), (F.col(k) > b).alias("flagged")) for k, (_, b) in rates.items()))))
+
+
+def last_steps(df: DataFrame, step: str, n: int) -> DataFrame:
+    """The rows of the last ``n`` steps, by a broadcast maximum (one row)."""
+    top = df.agg((F.max(step) - n).alias("_lo"))
+    return df.join(F.broadcast(top), F.col(step) > F.col("_lo")).drop("_lo")

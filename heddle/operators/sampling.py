@@ -49,3 +49,29 @@ def stratified(df: DataFrame, stratum: str, quotas: dict, key: str, seed: str =
 def shared_between(splits: DataFrame, key: str, split: str) -> DataFrame:
     """Keys that occur in more than one split; empty if the splits are disjoint."""
     return splits.groupBy(key).agg(F.min(split).alias("_a"), F.max(split).alias("_b")).where("_a != _b").select(key)
+
+
+def ranked(df: DataFrame, key: str, seed: str) -> DataFrame:
+    """``df`` with ``_rank``, from 1 on, of its rows in shuffled order, and ``_total``. ``key`` is unique.
+
+    A rank is the count of smaller hash prefixes plus the rank within its prefix, so nothing is sorted in one task.
+    """
+    rows = df.withColumn("_h", shuffled(F.col(key), seed)).withColumn("_p", F.substring("_h", 1, 4))
+    counts = rows.groupBy("_p").agg(F.count("*").alias("_c"))
+    base = counts.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_base"), F.sum("_c").over(Window.partitionBy()).alias("_total"))  # at most 65,536 rows
+    own = F.row_number().over(Window.partitionBy("_p").orderBy("_h", key))
+    return rows.join(F.broadcast(base), "_p").withColumn("_rank", own + F.col("_base")).drop("_h", "_p", "_base")
+
+
+def shards(df: DataFrame, key: str, world: int, seed: str) -> DataFrame:
+    """``df`` with ``shard``: shuffled rows dealt to ``world`` shards in turn, without padding."""
+    return ranked(df, key, seed).withColumn("shard", ((F.col("_rank") - 1) % world).cast("int")).drop("_rank", "_total")
+
+
+def examples(df: DataFrame, bucket: str, key: str, k: int, seed: str) -> DataFrame:
+    """``bucket, n, ids``: the rows of each bucket and ``k`` of them in shuffled order."""
+    n = df.groupBy(bucket).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(bucket).orderBy("_h", key)
+    few = df.select(bucket, key, shuffled(F.col(key), seed).alias("_h")).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+    ids = few.groupBy(bucket).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", key))), lambda x: x[key]).alias("ids"))
+    return n.join(ids, bucket)

@@ -2,44 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from heddle.functions import stats, text
+from heddle.functions import rewards, stats, text
 from heddle.operators import audit, evaluate, retrieval, samples, sampling, windows
+from heddle.plans.registry import oracle_sql, queries, query, r6
 from heddle.session import table as t
 from heddle.streaming import memory
 
-Query = Callable[[SparkSession, str], DataFrame]
-_queries: dict[str, Query] = {}
-_sql: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _queries[f.__name__] = f
-        if sql:
-            _sql[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(_queries)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
-
-
-def r6(c) -> Column:
-    return F.round(c, 6)
-
-
 def _timeline(s: SparkSession, d: str) -> DataFrame:
     """events with ``chunk``, the hour since the epoch."""
     e = t(s, d, "events", "event_id", "ts", "user_id", "event_type", "value")
@@ -102,7 +74,7 @@ def flag_rates(s, d):
 SELECT metric, value::BIGINT AS value, round(100.0::DOUBLE * value / n, 6) AS pct FROM (
 SELECT 'exact_copies' AS metric, n - u AS value, n FROM m UNION ALL SELECT 'with_origin', v, n FROM m UNION ALL SELECT 'origin_repeats', v - dv, n FROM m)""")
 def dedup_risk_metrics(s, d):
-    m = t(s, d, "documents", "text", "video_id").agg(F.count("*").alias("n"), (F.count_distinct("text") + F.max(F.col("text").isNull().cast("int"))).alias("u"), F.count("video_id").alias("v"), F.count_distinct("video_id").alias("dv"))
+    m = t(s, d, "documents", "text", "video_id").agg(F.count("*").alias("n"), (F.count_distinct(F.sha2("text", 256)) + F.max(F.col("text").isNull().cast("int"))).alias("u"), F.count("video_id").alias("v"), F.count_distinct("video_id").alias("dv"))
     row = lambda k, v: F.struct(F.lit(k).alias("metric"), v.alias("value"), r6(100.0 * v / F.col("n")).alias("pct"))
     return m.select(F.inline(F.array(row("exact_copies", F.col("n") - F.col("u")), row("with_origin", F.col("v")), row("origin_repeats", F.col("v") - F.col("dv")))))
 
@@ -408,9 +380,9 @@ def windowed_answers(s, d):
     return _answered(s, d)
 
 
-@query(f"""WITH {ANSWERED} SELECT user_id, count(*)::BIGINT AS n, round(avg(CASE WHEN answer IS NULL THEN -0.5 WHEN answer < ask THEN -1 WHEN answer <= ask + 6 THEN 1 ELSE pow(0.5::DOUBLE, answer - ask - 6) END), 6) AS reward FROM wa GROUP BY 1""")
+@query(f"""WITH {ANSWERED} SELECT user_id, count(*)::BIGINT AS n, round(avg(CASE WHEN answer IS NULL THEN -0.5 WHEN answer < ask THEN -1 WHEN answer <= ask + 6 THEN 1 WHEN answer <= ask + 10 THEN 1 - 0.5::DOUBLE * (answer - ask - 6) / 4 ELSE 0 END), 6) AS reward FROM wa GROUP BY 1""")
 def timing_reward(s, d):
-    r = evaluate.timing_reward(F.col("answer"), F.col("ask"), F.col("ask") + 6)
+    r = rewards.timing(F.col("answer"), F.col("ask"), F.col("ask") + 6, 4)
     return _answered(s, d).groupBy("user_id").agg(F.count("*").alias("n"), r6(F.avg(r)).alias("reward"))
 
 
@@ -478,10 +450,10 @@ def grouping_sets_profile(s, d):
     return evaluate.profile(j, ["o_orderpriority", "c_mktsegment", "n_name"], "o_totalprice").withColumn("total", F.round("total", 2))
 
 
-@query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS r FROM events) SELECT event_type, round(avg(value) FILTER (WHERE r <= 10), 6) AS last_mean, round(avg(value), 4) AS mean FROM r GROUP BY 1""")
+@query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS r FROM events) SELECT event_type, round(avg(value) FILTER (WHERE r <= 10), 6) AS last_mean, round(avg(value), 4) AS mean, round(avg(value) FILTER (WHERE r <= 10) - avg(value), 4) AS delta FROM r GROUP BY 1""")
 def last_n_mean_delta(s, d):
     out = evaluate.last_n_mean(t(s, d, "events", "event_id", "event_type", "value"), ["event_type"], "event_id", "value", 10)
-    return out.select("event_type", r6("last_mean").alias("last_mean"), F.round("mean", 4).alias("mean"))
+    return out.select("event_type", r6("last_mean").alias("last_mean"), F.round("mean", 4).alias("mean"), F.round("delta", 4).alias("delta"))
 
 
 # Retrieval
@@ -590,3 +562,6 @@ def agent_memory_batch(s, d):
     think = text.estimated_tokens(text.tag(F.col("output"), "think"))
     chunks = m.groupBy(F.concat_ws("/", "video_id", "trajectory_id").alias("key"), F.col("chunk_idx").cast("long").alias("at")).agg(F.max(F.coalesce(think, F.lit(0))).cast("long").alias("tokens"))
     return memory.memory_batch(chunks, trigger=60, target=40, summary=4)
+
+
+from heddle.plans import checks, curation, scoring  # noqa: E402, F401  the other modules of the catalogue register themselves
