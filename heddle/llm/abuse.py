@@ -45,6 +45,7 @@ PEOPLE = re.compile(r"^\w{3,}(?:ians|ites|rans|eses|iten|ianer|iens|iennes|itas|
 GROUP_WORDS = frozenset(w for line in GROUPS for w in line.split())
 
 _SPACED = re.compile(r"(?<![\w*])(?:[^\W_][ .\-_·]){2,}[^\W_](?![\w*])")
+_BLANK = re.compile(f"{BLANK}*")
 _RUN = re.compile(r"(\w)\1{2,}")
 _TOKEN = re.compile(r"[^\W_]+(?:[*@$'’][^\W_]*)*|[*@$][^\W_*@$]+[^\s.,;!?]*")
 
@@ -326,11 +327,9 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, size: int, seed: in
     votes = votes.select("doc_id", (F.col("share") > 0.5).cast("int").alias("y"), random_key(seed, F.col("doc_id")).alias("k"))
     voted = {r.y: r.n for r in votes.groupBy("y").agg(F.count("*").alias("n")).collect()}
     rows = [votes.where(F.col("y") == y).orderBy("k", "doc_id").limit(size * (2 - y)) for y in (0, 1)]
-    got = documents.select("doc_id", "text").join(F.broadcast(rows[0].unionByName(rows[1])), "doc_id").where(F.length(F.regexp_replace("text", f"{BLANK}+", "")) > 0).orderBy("k", "doc_id").select("text", "y").toLocalIterator()
-    texts, y = [], []
-    for r in got:
-        texts.append(r.text)
-        y.append(r.y)
+    got = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(rows[0].unionByName(rows[1])), "doc_id").select("k", "doc_id", "text", "y")
+    kept = sorted((r.k, r.doc_id, r.text, r.y) for r in got.toLocalIterator() if not _BLANK.fullmatch(r.text))  # three times size at most
+    texts, y = [r[2] for r in kept], [r[3] for r in kept]
     y = np.array(y, dtype=np.int64)
     return texts, y, np.array([voted.get(k, 0) / max(1, (y == k).sum()) for k in (0, 1)])[y] if len(y) else np.zeros(0)
 
