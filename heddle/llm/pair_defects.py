@@ -1,8 +1,10 @@
 """Defective question and answer pairs (problem 5).
 
-Distinct answers are sorted by text; a shortened version of another answer is then a proper prefix of its neighbour. Lengths
-that hold far more unfinished answers than their surroundings are taken as limits. Rules for empty, refused, copied and
-foreign-language answers come first, as each answer has one defect at most.
+Distinct answers are sorted by text; a shortened version of another answer is then a proper prefix of its neighbour. The words
+of all answers are sorted likewise: an answer that ends in the beginning of a neighbouring word, itself hardly ever a whole
+word, was cut inside it. Lengths that hold far more unfinished answers than their surroundings are taken as limits. Rules for
+empty, refused, copied and foreign-language answers come first, as each answer has one defect at most; rules for open structure
+and long unfinished answers come after the neighbours and limits.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from heddle.session import stage
 #: The names of roles, after cleaning.
 USER, ASSISTANT = ("user", "human", "customer", "prompter"), ("assistant", "gpt", "bot", "model", "ai", "chatbot", "chatgpt")
 
-#: Answers that stand for no answer, after removing case, brackets and punctuation.
+#: Our choice: answers that stand for no answer, after removing case, brackets and punctuation.
 PLACEHOLDERS = ("", "none", "null", "nan", "n a", "na", "no output", "no answer", "no response", "empty", "empty response", "empty answer", "blank", "tbd", "todo", "undefined", "nil", "missing", "not available", "keine antwort", "aucune réponse", "sin respuesta", "无", "空", "leer", "vide", "vacío")
 
-#: How answers begin that decline or claim inability, in the languages of the corpus.
+#: Our choice: how answers begin that decline or claim inability, in the languages of the corpus.
 REFUSALS = (
     r"^(?:(?:i am|i'm|i) (?:\w+ )?sorry|sorry|my apologies|apologies|i apologi[sz]e|unfortunately|regrettably|as an (?:ai|assistant|a language)|as a (?:language|large)|i'm (?:unable|not able|afraid|not allowed)|it(?:'s| is) not possible for me|my (?:guidelines|instructions|policy|rules)\b|this is not something i can|i (?:can ?not|can't|cannot|am unable|am not able|'m unable|'m not able|won't|will not|must decline|have to decline|do not have|don't have|am afraid|'m afraid|would rather not|refuse|decline))\b",
     r"^(?:es tut mir leid|tut mir leid|entschuldigung|leider|als (?:ki|assistent|sprachmodell)|ich kann (?:\w+ ){0,6}nicht|ich (?:darf|möchte|werde) (?:\w+ ){0,6}nicht|ich bin nicht in der lage|es ist mir nicht|mir ist es nicht|meine (?:richtlinien|vorgaben|regeln))",
@@ -31,20 +33,20 @@ REFUSALS = (
     r"^(?:lo siento|lamentablemente|desafortunadamente|como (?:asistente|ia|modelo)|no puedo|no me es posible|no estoy en condiciones|me temo que no|perdón|mis (?:directrices|normas|instrucciones|reglas)|me es imposible)",
     r"^(?:抱歉|对不起|很抱歉|很遗憾|不好意思|作为(?:一个|一名)?(?:ai|人工智能|助手|语言模型)|我(?:无法|不能|没办法)|无法|我的(?:准则|规则|指南))",
 )
-#: Words that show what an answer declines or cannot do.
+#: Our choice: words that show what an answer declines or cannot do.
 INABILITY = r"(?:\bcan(?:no|')t\b|\bcannot\b|\bcan not\b|\bunable\b|\bnot able\b|\bwon't\b|\bwill not\b|\bnot possible\b|\bimpossible\b|\bdo not let\b|\bdon't let\b|\bnot allow|\bdecline\b|\brefuse\b|\bguidelines\b|\bnicht\b|\bunmöglich\b|\bne (?:peux|puis|suis|permet)|\bpas\b|\bimpossible\b|\bno (?:puedo|me|es)\b|\bimposible\b|不能|无法|不可以|没办法|不允许|不便|i'm sorry|i am sorry|désolé|lo siento|tut mir leid|抱歉)"
 
-#: Frequent words of each language that the others lack.
+#: Our choice: frequent words of each language that the others lack.
 COMMON = {
     "en": "the is are was with and what does how many people stand in front of which object near yes it he she then there under describe happens between where colour please",
     "de": "der die das den dem und ist sind mit auf hat welche welcher farbe vor hinter unter neben passiert was ein eine einen beschreibe bitte zwischen sekunde zu sehen",
     "fr": "le la les des est et sur dans du une un avec de quelle couleur que se passe sous derrière devant décris ce l'on voit entre seconde puis ensuite à",
     "es": "el la los las es y en del una un con de qué color pasa sobre detrás delante describe lo que se ve entre segundo después al cuál",
 }
-#: How a question names the language it wants.
+#: Our choice: how a question names the language it wants.
 ASKED = {"en": r"\b(?:in english|auf englisch|en anglais|en inglés)\b|用英[语文]", "de": r"\b(?:in german|auf deutsch|en allemand|en alemán)\b|用德[语文]", "fr": r"\b(?:in french|auf französisch|en français|en francés)\b|用法[语文]", "es": r"\b(?:in spanish|auf spanisch|en espagnol|en español)\b|用西班牙[语文]", "zh": r"\b(?:in chinese|auf chinesisch|en chinois|en chino|in mandarin)\b|用[中汉][语文]"}
 
-#: Words that introduce a repeated question.
+#: Our choice: words that introduce a repeated question.
 LABELS = ("question", "q", "frage", "pregunta", "user", "prompt", "问题", "问")
 
 TERMINAL = r"[.!?。！？…][\"'”’»)\]]*$"
@@ -91,13 +93,13 @@ def pairs(messages: DataFrame) -> DataFrame:
     return rows.where((F.col("role") == "assistant") & ~F.coalesce(F.col("content").rlike(r"<tool_call>"), F.lit(False))).select("sample_id", "msg_idx", "question", "content")
 
 
-def shortened(texts: DataFrame) -> DataFrame:
-    """``(answer)`` of the distinct answers that are proper prefixes of another one, found between neighbours in sorted order.
+def shortened(texts: DataFrame, column: str = "answer") -> DataFrame:
+    """``(answer)`` of the distinct texts that are proper prefixes of another one, found between neighbours in sorted order.
 
     The range sort splits equal beginnings over tasks. What crosses from one range to the next is decided from the first
     answer of each range, one row a range.
     """
-    ranged = texts.select("answer").where("answer != ''").distinct().repartitionByRange("answer").sortWithinPartitions("answer")
+    ranged = texts.select(F.col(column).alias("answer")).where("answer != ''").distinct().repartitionByRange("answer").sortWithinPartitions("answer")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(answers: list, next_to: list, last: list) -> pa.RecordBatch:
@@ -122,26 +124,47 @@ def shortened(texts: DataFrame) -> DataFrame:
     return inside.unionByName(out.sparkSession.createDataFrame(across, "answer string")).distinct()
 
 
-def flag_pairs(messages: DataFrame, *, long_words: int = 7, long_letters: int = 9, usual: int = 5, usual_share: float = 0.0003) -> DataFrame:
+def broken_words(answers: DataFrame, *, rare: int = 3, rare_share: float = 3e-6) -> DataFrame:
+    """``(last)``: ends of answers that are the beginning of a longer word and hardly ever a word of their own.
+
+    ``answers`` has ``answer``. A word is whole where something else than a letter follows it; hardly ever is fewer than
+    ``rare`` times and ``rare_share`` of all words. Words are counted with partial aggregation before they are shuffled.
+    """
+    words = answers.select(F.explode(F.regexp_extract_all("answer", F.lit(r"(\p{L}+)"), 1)).alias("w"), F.lit(1).alias("c"))
+    ends = answers.select(F.regexp_extract("answer", r"(\p{L}+)$", 1).alias("w"), F.lit(-1).alias("c")).where("w != ''")
+    counts = words.unionByName(ends).groupBy("w").agg(F.sum("c").alias("whole"), F.count_if(F.col("c") == -1).alias("at_end"))
+    counts = stage(counts, "words")
+    most = F.greatest(F.lit(rare), F.lit(rare_share * (counts.agg(F.sum("whole")).first()[0] or 0)))
+    return counts.where((F.col("whole") < most) & (F.col("at_end") > 0)).join(shortened(counts, "w"), F.col("w") == F.col("answer"), "left_semi").select(F.col("w").alias("last"))
+
+
+def flag_pairs(messages: DataFrame, *, long_words: int = 7, long_letters: int = 9, usual: int = 5, usual_share: float = 0.0003, neighbours: bool = True, most_words: int = 1_000_000) -> DataFrame:
     """Every pair with its ``defect`` or null: ``(sample_id, msg_idx, question, answer, defect)``.
 
     The first of empty, refusal, copied, truncated, language that holds. An unfinished answer (no final punctuation) is
-    truncated if it has ``long_words`` words, leaves a quote, bracket or tag open, is a shortened version of another answer
-    without being usual itself, or has the length of a spike. Usual is what makes up ``usual_share`` of all answers and
-    occurs ``usual`` times. Ties, repeated rows and empty tables need no special case.
+    truncated if it is a shortened version of another answer or ends inside a word, without being usual itself, if it has the
+    length of a spike, leaves a quote, bracket or tag open, or has ``long_words`` words. Usual is what makes up ``usual_share``
+    of all answers and occurs ``usual`` times. ``neighbours=False`` leaves the sorted search out, to measure what it contributes.
+    Broken words are broadcast up to ``most_words`` and joined beyond. Answers meet by a 128-bit hash, so their texts are
+    shuffled for the sort only. Ties, repeated rows and empty tables need no special case.
     """
     p = pairs(messages).withColumn("answer", F.regexp_replace(spoken(F.coalesce("content", F.lit(""))), rf"^{BLANK}+|{BLANK}+$", ""))
     q = F.coalesce(F.regexp_replace("question", r"(?s)<visual_window>.*?</visual_window>", " "), F.lit(""))
     p = p.withColumn("q", bare(q)).withColumn("a", bare(F.col("answer"))).withColumn("n", F.length("content"))
-    p = stage(p.withColumn("unfinished", ~F.col("answer").rlike(TERMINAL)), "pairs")
+    p = stage(p.withColumn("unfinished", ~F.col("answer").rlike(TERMINAL)).withColumn("h", F.md5("answer")).withColumn("last", F.when(F.col("unfinished"), F.regexp_extract("answer", r"(\p{L}+)$", 1))), "pairs")
 
-    counts = p.groupBy("answer").agg(F.count("*").alias("times"))
-    short = shortened(counts).withColumn("is_short", F.lit(True))
+    counts = p.groupBy("h").agg(F.count("*").alias("times"), F.max("unfinished").alias("unfinished"))
+    texts = p.select("answer").where(F.lit(neighbours))
+    short = shortened(texts).select(F.md5("answer").alias("h"))
+    broken = stage(broken_words(texts), "broken-words").withColumn("is_broken", F.lit(True))
     lengths = p.where("unfinished").groupBy("n").agg(F.count("*").alias("c"))
-    around = Window.orderBy("n").rangeBetween(-12, 12)  # one row per distinct length
+    around = Window.orderBy("n").rangeBetween(-12, 12)  # one row per distinct length of an unfinished answer
     limits = lengths.withColumn("near", (F.sum("c").over(around) - F.col("c")) / 24.0).where((F.col("c") >= 8) & (F.col("c") >= 6 * F.col("near")) & (F.col("n") >= 40)).select("n", F.lit(True).alias("at_limit"))
-    known = counts.join(short, "answer", "left").where(F.col("is_short") & (F.col("times") < max(usual, usual_share * p.count()))).select("answer", F.lit(True).alias("is_short"))
-    p = p.join(known, "answer", "left").join(limits, "n", "left")
+    # what is unfinished and not usual is a small part of all answers' hashes
+    rare = counts.where(F.col("unfinished") & (F.col("times") < max(usual, usual_share * p.count()))).select("h", F.lit(True).alias("is_rare"))
+    known = rare.join(short.withColumn("is_short", F.lit(True)), "h", "left")
+    p = p.join(known, "h", "left").join(F.broadcast(broken) if broken.limit(most_words + 1).count() <= most_words else broken, "last", "left")
+    p = p.join(F.broadcast(limits), "n", "left")  # one row a length that is a spike
 
     qw, aw = F.split("q", " "), F.split("a", " ")
     qset, aset = F.array_distinct(qw), F.array_distinct(aw)
@@ -168,7 +191,8 @@ def flag_pairs(messages: DataFrame, *, long_words: int = 7, long_letters: int =
     wide = (F.regexp_count("answer", F.lit(r"[一-鿿]")) >= long_letters) & ~F.col("answer").rlike(r"[。！？]$")
     long = (n_words >= long_words) | wide
     cut_short = F.coalesce("is_short", F.lit(False)) & ((n_words >= 3) | (F.length("answer") >= 12))
-    truncated = open_tag | (F.col("unfinished") & (quotes | open_bracket | long | cut_short | (F.coalesce("at_limit", F.lit(False)) & (n_words >= 4)))) | F.col("answer").rlike(r"(?:\.\.\.|…)$")
+    cut_inside = F.coalesce(F.col("is_rare") & F.col("is_broken"), F.lit(False)) & (n_words >= 2)
+    truncated = open_tag | (F.col("unfinished") & (cut_short | cut_inside | quotes | open_bracket | long | (F.coalesce("at_limit", F.lit(False)) & (n_words >= 4)))) | F.col("answer").rlike(r"(?:\.\.\.|…)$")
 
     q_lang, a_lang = language(qw, q), language(aw, F.col("answer"))
     asked = F.lit(False)

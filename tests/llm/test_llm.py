@@ -289,6 +289,16 @@ def test_usual_is_a_share_of_the_answers(spark):
         assert pair_defects.defective_pairs(rows).where("defect = 'truncated'").count() == want
 
 
+def test_neighbours_find_short_cut_answers(spark):
+    """Answers too short for the other rules, cut inside a word: only the sorted search tells them from whole ones."""
+    whole = ["The wooden crate stands there.", "Near the yellow thermometer.", "She lifts the copper pipe."]
+    said = [whole[i % 3] for i in range(60)] + ["The wooden cra", "Near the yellow therm", "on the top shelf", "by the copper"]
+    rows = [x for i, a in enumerate(said) for x in ((i, 0, "user", "What is there in the picture now?"), (i, 1, "gpt", a))]
+    table = spark.createDataFrame([(*x, NOW) for x in rows], "sample_id long, msg_idx int, role string, content string, logged_at timestamp_ntz")
+    found = {n: {r.sample_id for r in pair_defects.flag_pairs(table, neighbours=n).where("defect = 'truncated'").collect()} for n in (True, False)}
+    assert found == {True: {60, 61}, False: set()}
+
+
 def test_shortened_against_brute_force(spark):
     rng = random.Random(6)
     texts = {"".join(rng.choice("ab") for _ in range(rng.randint(1, 9))) for _ in range(300)}
