@@ -157,9 +157,13 @@ def origin_split(s, d):
     return sampling.split_keys(t(s, d, "documents", "video_id"), "video_id", _SHARES)
 
 
-@query("""SELECT video_id FROM documents WHERE false""")
+@query("""WITH k AS (SELECT DISTINCT doc_id, video_id FROM documents WHERE video_id IS NOT NULL), r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('rows-' || doc_id::VARCHAR), doc_id) AS r, count(*) OVER () AS n FROM k),
+s AS (SELECT doc_id, CASE WHEN r <= greatest(1, floor(n * 0.8::DOUBLE)) THEN 'train' ELSE 'val' END AS split FROM r) SELECT video_id FROM s JOIN documents USING (doc_id) GROUP BY 1 HAVING min(split) <> max(split)""")
 def split_disjointness(s, d):
-    return sampling.shared_between(origin_split(s, d), "video_id", "split")
+    """The origins that a split of single documents tears apart: what a split by origin must not have."""
+    docs = t(s, d, "documents", "doc_id", "video_id").where("video_id is not null")
+    by_row = sampling.split_keys(docs, "doc_id", {"train": 0.8, "val": 0.2}, "rows-")
+    return sampling.shared_between(docs.join(by_row, "doc_id"), "video_id", "split").select("video_id")
 
 
 @query("""SELECT event_id, event_type FROM events WHERE event_type IN ('click', 'view', 'error') QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY md5('pick-' || event_id::VARCHAR), event_id) <= CASE event_type WHEN 'click' THEN 200 WHEN 'view' THEN 100 ELSE 50 END""")
@@ -462,7 +466,7 @@ _ARCHIVE = ["video_id"]
 
 
 def _archive(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Recall queries of a video, its chunks' thinks as archive, and the chunks that a recall returned as gold."""
+    """Recall queries of a video, its chunks' thinks as archive, and the rows both come from."""
     f = t(s, d, "fork_samples", "sample_id", "video_id", "chunk_idx", "sample_type", "output", "recall_result").distinct()
     call = text.tag(F.col("output"), "tool_call")
     q = f.where(F.get_json_object(call, "$.name") == "recall").groupBy("video_id", F.col("sample_id").alias("q")).agg(F.max("chunk_idx").alias("at"), F.max(F.get_json_object(call, "$.arguments.query")).alias("text")).where("at is not null and text is not null")
@@ -494,18 +498,36 @@ def time_filtered_retrieval(s, d):
     return retrieval.top_k(near, ["video_id", "q"], 4, "doc").select("q", "doc", "score", "rank")
 
 
-@query(f"""WITH {ARCHIVE}, gold AS (SELECT video_id, q, max(doc) AS doc FROM sc GROUP BY 1, 2), h AS (SELECT video_id, q, min(CASE WHEN gold.doc IS NOT NULL THEN rank END) AS best, count(*) AS n, count(gold.doc) AS n_both FROM (SELECT * FROM rk WHERE rank <= 4) LEFT JOIN gold USING (video_id, q, doc) GROUP BY 1, 2)
-SELECT count(*)::BIGINT AS n_queries, round(avg(coalesce((best <= 4)::INT, 0)), 6) AS hit, round(avg(coalesce(1.0::DOUBLE / best, 0)), 6) AS mrr, round(avg(n_both::DOUBLE / (n + 1 - n_both)), 6) AS iou FROM h""")
+GOLD = """tr AS (SELECT DISTINCT video_id, trajectory_id, card_id, chunk_idx, recall_result FROM fork_samples WHERE recall_result IS NOT NULL AND trajectory_id IS NOT NULL AND card_id IS NOT NULL),
+gold AS (SELECT DISTINCT qs.video_id, q, unnest(regexp_extract_all(tr.recall_result, '\\[(\\d+)\\]', 1))::INT AS doc FROM qs JOIN fork_samples f ON f.sample_id = qs.q AND f.video_id = qs.video_id JOIN tr ON tr.video_id = f.video_id AND tr.trajectory_id = f.trajectory_id AND tr.card_id = f.card_id AND tr.chunk_idx = f.chunk_idx)"""
+
+
+@query(f"""WITH {ARCHIVE}, {GOLD}, g AS (SELECT video_id, q, count(*) AS n_gold FROM gold GROUP BY 1, 2), h AS (SELECT video_id, q, min(CASE WHEN gold.doc IS NOT NULL THEN rank END) AS best, count(*) AS n, count(gold.doc) AS n_both FROM (SELECT * FROM rk WHERE rank <= 4) LEFT JOIN gold USING (video_id, q, doc) GROUP BY 1, 2)
+SELECT count(*)::BIGINT AS n_queries, round(avg(coalesce((best <= 4)::INT, 0)), 6) AS hit, round(avg(coalesce(1.0::DOUBLE / best, 0)), 6) AS mrr, round(avg(coalesce(n_both, 0)::DOUBLE / (coalesce(n, 0) + n_gold - coalesce(n_both, 0))), 6) AS iou FROM g LEFT JOIN h USING (video_id, q)""")
 def retrieval_metrics(s, d):
     q, a, _ = _archive(s, d)
     scores = retrieval.overlap_scores(q, a, _ARCHIVE)
-    gold = scores.groupBy("video_id", "q").agg(F.max("doc").alias("doc"))
+    at = ["video_id", "trajectory_id", "card_id", "chunk_idx"]
+    returned = t(s, d, "fork_samples", *at, "recall_result").where("recall_result is not null").distinct()
+    asked = t(s, d, "fork_samples", "sample_id", *at).withColumnRenamed("sample_id", "q").distinct().join(q.select("video_id", "q"), ["video_id", "q"], "left_semi")
+    gold = asked.join(returned, at).select("video_id", "q", F.explode(F.regexp_extract_all("recall_result", F.lit(r"\[(\d+)\]"), 1)).alias("doc")).withColumn("doc", F.col("doc").cast("int")).distinct()
     m = retrieval.metrics(retrieval.top_k(scores, ["video_id", "q"], 4, "doc"), gold, ["video_id", "q"], "doc", 4)
     return m.select("n_queries", *(r6(c).alias(c) for c in ("hit", "mrr", "iou")))
 
 
+_COS = "round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))), 6)"
+
+
+@query(f"""SELECT q.vec_id AS q, e.vec_id AS doc, {_COS} AS cosine, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id)::INT AS rank FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0 QUALIFY rank <= 4""")
+def dense_retrieval(s, d):
+    e = t(s, d, "embeddings", "vec_id", "embedding")
+    return retrieval.dense_top_k(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 4)
+
+
 BM25 = f"""{ARCHIVE}, tk AS (SELECT video_id, doc, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM ar), tf AS (SELECT video_id, doc, word, count(*) AS tf FROM tk GROUP BY ALL), ln AS (SELECT video_id, doc, sum(tf) AS len FROM tf GROUP BY ALL),
-wh AS (SELECT video_id, count(*) AS n, avg(len) AS m FROM ln GROUP BY ALL), dfq AS (SELECT video_id, word, count(*) AS df FROM tf GROUP BY ALL), bm AS (SELECT video_id, q, doc, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / m))) AS score FROM qw JOIN dfq USING (video_id, word) JOIN tf USING (video_id, word) JOIN ln USING (video_id, doc) JOIN wh USING (video_id) WHERE word NOT IN ({", ".join(f"'{w}'" for w in text.STOP_WORDS)}) GROUP BY ALL)"""
+wh AS (SELECT qs.video_id, q, count(*) AS n, avg(len) AS m FROM qs JOIN ln ON ln.video_id = qs.video_id AND ln.doc <= qs.pos GROUP BY ALL),
+hi AS (SELECT qw.video_id, q, doc, word, tf, count(*) OVER (PARTITION BY qw.video_id, q, word) AS df FROM qw JOIN tf USING (video_id, word) WHERE doc <= pos AND word NOT IN ({", ".join(f"'{w}'" for w in text.STOP_WORDS)})),
+bm AS (SELECT video_id, q, doc, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / m))) AS score FROM hi JOIN ln USING (video_id, doc) JOIN wh USING (video_id, q) GROUP BY ALL)"""
 
 
 @query(f"WITH {BM25} SELECT q, count(*)::BIGINT AS n, round(max(score), 6) AS best, round(sum(score), 4) AS total FROM bm GROUP BY 1")

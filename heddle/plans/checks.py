@@ -18,7 +18,7 @@ CASE WHEN regexp_matches(q, '(?i)^(is|are|does|do|did|was|were|has|have|can) ')
 CASE WHEN NOT (length(coalesce(think, '')) // 4 BETWEEN 0 AND 30) THEN 'think_length' END,
 CASE WHEN kind IN ('response', 'recall_response') AND coalesce(trim(a), '') = '' THEN 'no_answer' END,
 CASE WHEN kind LIKE '%silent' AND a <> '' THEN 'answer_in_silence' END,
-CASE WHEN list_bool_or(list_transform(regexp_extract_all(coalesce(recall_result, ''), '"?chunk(?:_idx)?"?[: ]+([0-9]+)', 1), lambda x: x::INT > c)) THEN 'future_evidence' END
+CASE WHEN list_bool_or(list_transform(regexp_extract_all(coalesce(recall_result, ''), '\\[(\\d+)\\]', 1), lambda x: x::INT > c)) THEN 'future_evidence' END
 ], lambda x: x IS NOT NULL), ',') AS reasons FROM cv)"""
 
 
@@ -26,7 +26,7 @@ def _verified(s: SparkSession, d: str) -> DataFrame:
     rows, kind, a = conversation_rows(s, d), F.col("kind"), F.col("a")
     answers = kind.isin("response", "recall_response")
     binary = F.when(F.col("q").rlike(r"(?i)^(is|are|does|do|did|was|were|has|have|can) ") & answers, "binary")
-    evidence = F.transform(F.regexp_extract_all(F.coalesce("recall_result", F.lit("")), F.lit('"?chunk(?:_idx)?"?[: ]+([0-9]+)'), 1), lambda x: x.cast("int"))
+    evidence = F.transform(F.regexp_extract_all(F.coalesce("recall_result", F.lit("")), F.lit(r"\[(\d+)\]"), 1), lambda x: x.cast("int"))
     checks = {
         "grounded": verify.grounded(F.col("output")),
         "form": verify.strict_answer(a, binary),
