@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,13 +50,77 @@ def read_policy(path: str | None, default: dict) -> dict:
 
 
 def sampled(df: DataFrame, key: str, spec: str, seed: str = "rate-") -> DataFrame:
-    """``name%NN`` keeps floor(n * NN / 100) rows of smallest shuffled key; without a suffix all."""
-    from heddle.operators.sampling import shuffled
+    """``name%NN`` keeps floor(n * NN / 100) rows of smallest shuffled key; without a suffix all.
+
+    Ranks come from counts of hash prefixes, so the sample is drawn in all tasks alike. ``key`` is unique.
+    """
+    from heddle.operators.sampling import ranked
 
     if "%" not in spec:
         return df
-    n = df.count() * int(spec.rpartition("%")[2]) // 100
-    return df.orderBy(shuffled(F.col(key), seed), key).limit(n)
+    return ranked(df, key, seed).where(F.col("_rank") <= F.floor(F.col("_total") * int(spec.rpartition("%")[2]) / 100)).drop("_rank", "_total")
+
+
+def skip_reason(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """``df`` with ``skip``: the first of ``rules`` (``{reason: condition to skip}``) that holds, else null. Null conditions don't hold."""
+    return df.withColumn("skip", F.coalesce(*(F.when(c, k) for k, c in rules.items()), F.lit(None)))
+
+
+def skip_counts(df: DataFrame) -> DataFrame:
+    """How many rows ``skip_reason`` leaves out for each reason, and how many it keeps."""
+    return df.groupBy(F.coalesce("skip", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+def cached(keys: DataFrame, path: str, on: list[str], compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The values of ``keys``, from the keyed Parquet table at ``path``; only missing ones are computed, and appended to it.
+
+    ``compute`` gives ``on`` and the values for the keys it gets, once each. ``on`` may hold a hash of the content.
+    """
+    spark = keys.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    wanted = keys.select(*on).distinct()
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        missing = wanted.join(spark.read.parquet(path).select(*on), on, "left_anti")
+    else:
+        missing = wanted
+    compute(missing).write.mode("append").parquet(path)
+    return wanted.join(spark.read.parquet(path).dropDuplicates(on), on, "left")
+
+
+class Stages:
+    """Versions of a pipeline's stages beside their tables: a stage is current while its mark has the expected version.
+
+    ``names`` are in order of dependence; ``invalidate`` deletes a stage and all after it.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, names: list[str]) -> None:
+        self.root, self.names = root.rstrip("/"), names
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}"
+
+    def mark(self, name: str, version: str) -> None:
+        out = self._fs.create(self._path(f"{self.path(name)}/_version"), True)
+        out.write(bytearray(version.encode()))
+        out.close()
+
+    def current(self, name: str, version: str) -> bool:
+        at = self._path(f"{self.path(name)}/_version")
+        if not self._fs.exists(at):
+            return False
+        opened = self._fs.open(at)
+        try:
+            return bytes(opened.readAllBytes()).decode() == version
+        finally:
+            opened.close()
+
+    def invalidate(self, name: str) -> list[str]:
+        gone = self.names[self.names.index(name) :]
+        for n in gone:
+            self._fs.delete(self._path(self.path(n)), True)
+        return gone
 
 
 def write_splits(df: DataFrame, path: str, split: str = "split", form: str = "json") -> None:

@@ -5,8 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from heddle.functions import stats, text
-from heddle.operators import audit, evaluate, sampling, windows
+from heddle.functions import protocol, rewards, stats, text
+from heddle.operators import audit, cards, duplicates, retrieval, sampling, verify, windows
 from heddle.plans import catalogue
 from heddle.sources import files
 from heddle.streaming import memory
@@ -39,7 +39,9 @@ def test_group_centring(spark):
 
 def test_timing_reward(spark):
     df = spark.createDataFrame([(7,), (3,), (11,), (None,)], "a int")
-    assert [r[0] for r in df.select(evaluate.timing_reward(F.col("a"), F.lit(5), F.lit(10))).collect()] == [1.0, -1.0, 0.5, -0.5]
+    reward = lambda c, *w: [r[0] for r in df.select(rewards.timing(c, F.lit(5), F.lit(10), *w)).collect()]
+    assert reward(F.col("a")) == [1.0, -1.0, 0.5, -0.5] and reward(F.col("a") + 1) == [1.0, -1.0, 0.0, -0.5] and reward(F.col("a"), 2) == [1.0, -1.0, 0.75, -0.5]
+    assert df.select(rewards.timing(F.col("a"), F.lit(None), F.lit(None))).distinct().collect()[0][0] == 0.0
 
 
 def test_nearest_rank(spark):
@@ -111,6 +113,145 @@ def test_memory_stream_equals_batch(spark, tmp_path):
     assert max(r[4] for r in want) <= 12
 
 
+def test_memory_merges_the_oldest_ranges(spark):
+    df = spark.createDataFrame([("a", i, 60) for i in range(60)], "key string, at long, tokens long")
+    rows = sorted(memory.memory_batch(df, trigger=320, target=220, summary=10, most=3).collect(), key=lambda r: r.at)
+    ranges = [tuple(map(int, x.split("-"))) for x in rows[-1].ranges.split(",")]
+    assert len(ranges) == 3 and ranges[0][0] == 0 and all(b + 1 == c for (_, b), (c, _) in zip(ranges, ranges[1:])) and ranges[-1][1] + 1 == rows[-1].first_held
+
+
+def test_percentiles_of_one_large_key(spark):
+    df = spark.range(20_000).select(F.lit("k").alias("g"), ((F.col("id") * 7919) % 20_000 / 8.0).alias("x"))
+    df = df.unionByName(spark.createDataFrame([("e", 1.0)] * 9 + [("e", 5.0)], "g string, x double"))
+    out = {r.g: tuple(r)[1:] for r in stats.nearest_rank_by(df, ["g"], "x", {"lo": 0.0, "p50": 0.5, "p95": 0.95, "hi": 1.0}).collect()}
+    assert out == {"k": (20_000, 0.0, 1250.0, 2375.0, 19_999 / 8.0), "e": (10, 1.0, 1.0, 5.0, 5.0)}
+
+
+def test_rewards_of_null_and_long_answers(spark):
+    df = spark.createDataFrame([("Yes", "yes", "binary"), ("Yes it is", "yes", "binary"), ("Yes it is", "yes", "descriptive"), ("y" * 1001, "y", "descriptive"), (None, "yes", "binary"), ("a", None, "binary"), ("a", " ", "")], "a string, g string, f string")
+    assert [r[0] for r in df.select(rewards.outcome(F.col("a"), F.col("g"), F.col("f"))).collect()] == [1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0]
+    q = spark.createDataFrame([("", "silent", ""), ("x", "silent", ""), (None, "response", "g"), ("x", "response", "g"), (None, "compress", None), (None, None, None)], "a string, k string, g string")
+    assert [r[0] for r in q.select(rewards.silent_quality(F.col("a"), F.col("k"), F.col("g"))).collect()] == [0.3, -0.6, -0.6, 0.0, 0.0, 0.3]
+    assert col(spark, rewards.well_formed, "<think>a</think><answer>b</answer>", "<think>a<answer>b</answer>", '<think></think><tool_call>{"name": "x"}</tool_call>', "<think></think><tool_call>{</tool_call>", "<answer></answer><answer></answer>", None) == [1.0, 0.0, 1.0, 0.0, 0.0, 0.0]
+
+
+def test_stems(spark):
+    assert col(spark, protocol.stem, "stirring the pot", "Stirs slowly", "stirred", "cut", "sees", "", None, "3 steps") == ["stir", "stir", "stir", "cut", "see", "", "", "3 steps"]
+
+
+def test_broken_json_is_rescued(spark):
+    texts = ['{"a": 1}', '```json\n{"a": [1, 2]}\n```', 'Here: {"a": [{"b": 1}, {"b": "x}"}, {"b": ', "[1, 2", "none", None, '{"a": "' + "x" * 10_000 + '"}']
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").select("i", protocol.robust_json(F.col("x")).alias("j")).collect()
+    got = {r.i: (r.j.mode, r.j.json) for r in rows}
+    assert [got[i][0] for i in range(7)] == ["direct", "fenced", "rescued", "failed", "failed", "failed", "direct"] and got[2][1] == '{"a": [{"b": 1}, {"b": "x}"}]}'
+
+
+def test_checks(spark):
+    df = spark.createDataFrame([("Bob lifts 3 MAPS near Ann_2.", "Bob and Carol lift a map.", "Carol saw Dave")], "source string, summary string, think string")
+    r = df.select(verify.key_items(F.col("source")), verify.provenance(F.col("summary"), F.col("source"), F.lit(False)), verify.provenance(F.col("summary"), F.col("source"), F.lit(True)), verify.leak(F.col("summary"), F.col("think"), F.col("source")), verify.ratio(F.col("summary"), F.lit(100)), verify.ratio(F.lit(" "), F.lit(9)), verify.leak(F.lit(None), F.lit(None), F.lit(None))).first()
+    assert set(r[0]) == {"bob", "ann_2", "3"} and tuple(r)[1:] == ("provenance", None, "think_leak", None, "empty_summary", None)
+    assert col(spark, verify.grounded, "<think>I hear music</think>", "<think>a map</think>", "x", None) == ["not_seen", None, "no_think", "no_think"]
+
+
+def test_similar_sets_against_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice("ab"), [rng.choice("cdefghij") for _ in range(rng.randint(0, 9))]) for i in range(150)] + [(500, None, ["c"]), (501, "a", None)]
+    df = spark.createDataFrame(rows, "k long, g string, w array<string>")
+    for least in (0.5, 0.8):
+        got = {(r.g, r.a, r.b) for r in duplicates.similar_sets(df, "g", "k", F.col("w"), least).collect()}
+        reps = {}
+        for i, g, w in rows:
+            if g and w:
+                reps.setdefault((g, frozenset(w)), i)
+        items = [(g, w, i) for (g, w), i in reps.items()]
+        want = {(g, min(i, j), max(i, j)) for g, w, i in items for h, v, j in items if g == h and i != j and len(w & v) / len(w | v) >= least}
+        assert got == want
+
+
+def test_diverse_picks_against_a_loop(spark):
+    rng = random.Random(6)
+    rows = [(k, c, [rng.choice("abcde") for _ in range(rng.randint(0, 3))]) for k in "xyz" for c in range(40)]
+    want = {}
+    for k, c, items in rows:
+        picks, last = want.setdefault(k, ([], [set()]))
+        if items and set(items) - last[0] and len(picks) < 8:
+            picks.append(c)
+            last[0] = set(items)
+    got = {r.k: r.picks for r in cards.diverse(spark.createDataFrame(rows, "k string, c long, i array<string>"), ["k"], "c", "i").collect()}
+    assert got == {k: p for k, (p, _) in want.items()}
+
+
+def test_best_range_against_brute_force(spark):
+    rng = random.Random(7)
+    rows = [(k, c, float(rng.randint(0, 9))) for k in "xy" for c in range(20)] + [("z", 0, 1.0)]
+    got = {r.k: (r.first, r.size, round(r.mean, 6)) for r in cards.best_range(spark.createDataFrame(rows, "k string, c long, g double"), ["k"], "c", "g", 3, 6).collect()}
+    for k in "xy":
+        g = [x for a, _, x in rows if a == k]
+        want = max((sum(g[i : i + n]) / n, n, -i) for n in range(3, 7) for i in range(20 - n + 1))
+        assert got[k] == (-want[2], want[1], round(want[0], 6))
+    assert set(got) == {"x", "y"}
+
+
+def test_dense_top_k_in_blocks(spark):
+    rng = random.Random(8)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)] + [(90, None), (91, []), (92, [0.0] * 4)]
+    df = spark.createDataFrame(rows, "i long, v array<float>")
+    q = df.where("i % 7 = 0")
+    a, b = ({(r.q, r.doc, r.rank) for r in retrieval.dense_top_k(q, df, "i", "v", 3, block=n).collect()} for n in (2, 1_000))
+    assert a == b and len(a) == 27 and retrieval.dense_top_k(q.where("false"), df, "i", "v", 3).count() == 0
+
+
+def test_stages_and_cache(spark, tmp_path):
+    st = files.Stages(spark, str(tmp_path), ["1a", "1b", "2"])
+    for n in st.names:
+        spark.range(1).write.parquet(f"{st.path(n)}/table")
+        st.mark(n, "v1")
+    assert st.current("1b", "v1") and not st.current("1b", "v2") and st.invalidate("1b") == ["1b", "2"]
+    assert st.current("1a", "v1") and not st.current("1b", "v1")
+    asked = []
+
+    def compute(keys):
+        asked.append(keys.count())
+        return keys.withColumn("v", F.col("k") * 2)
+
+    for ids in ([1, 2, 2], [2, 3]):
+        out = files.cached(spark.createDataFrame([(i,) for i in ids], "k long"), str(tmp_path / "cache"), ["k"], compute)
+        assert {tuple(r) for r in out.collect()} == {(i, i * 2) for i in ids}
+    assert asked == [2, 1]
+
+
+def test_writers_logs_and_responses(spark, tmp_path):
+    import gzip
+
+    df = spark.createDataFrame([(1, "train", "x"), (2, "val", "y")], "id long, split string, t string")
+    files.write_splits(df, str(tmp_path / "s"))
+    files.write_preview(df, str(tmp_path / "p"), 1)
+    assert spark.read.json(str(tmp_path / "s/split=val")).count() == 1 and spark.read.option("header", True).csv(str(tmp_path / "p/preview")).count() == 1
+    files.replace_keys(df, str(tmp_path / "k"), "split")
+    files.replace_keys(df.where("id = 2").withColumn("t", F.lit("z")), str(tmp_path / "k"), "split")
+    assert {(r.id, r.t) for r in spark.read.parquet(str(tmp_path / "k")).collect()} == {(1, "x"), (2, "z")}
+    with gzip.open(tmp_path / "a.jsonl.gz", "wt") as f:
+        f.write('{"a": 1}\n{"a": 2}\n')
+    assert files.read_any(spark, str(tmp_path / "a.jsonl.gz"), "a long").count() == 2
+    logs = files.log_metrics(spark.createDataFrame([("step 3 loss=0.5",), ("none",)], "value string"), {"loss": r"loss=([\d.]+)"})
+    assert [r.loss for r in logs.collect()] == [0.5, None]
+    answers = spark.createDataFrame([(1, 0, False, "bad"), (1, 1, True, "good")], "id long, attempt int, ok boolean, body string")
+    assert {r.id: r.response and r.response.body for r in files.with_responses(df, answers, "id", "attempt", "ok").collect()} == {1: "good", 2: None}
+    skipped = files.skip_reason(spark.createDataFrame([(10.0,), (None,), (5000.0,)], "d double"), {"no_duration": F.col("d").isNull(), "too_short": F.col("d") < 30, "too_long": F.col("d") > 1800})
+    assert {r.reason: r.n for r in files.skip_counts(skipped).collect()} == {"too_short": 1, "no_duration": 1, "too_long": 1}
+    assert files.read_policy(None, {"a": 1}) == {"a": 1}
+
+
+def test_frames_grow_backwards_only():
+    """No window of the library is evaluated over all following rows anew for each row."""
+    import pathlib
+
+    import heddle
+
+    root = pathlib.Path(heddle.__file__).parent
+    assert not [p for p in root.rglob("*.py") if "unboundedFollowing" in p.read_text()]
+
+
 def test_reading(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d/a.jsonl").write_text('{"a": 1}\n{"a": null}\n')
