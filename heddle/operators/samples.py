@@ -34,6 +34,32 @@ def chat(samples: DataFrame, prompt: Column, tool: Column, answer: Column) -> Da
     return samples.withColumn("messages", F.array_compact(F.array(m("system", F.lit("Answer from the visible chunks only.")), m("user", prompt), m("tool", tool), m("assistant", answer))))
 
 
+def shapes(rows: DataFrame, place: list[str]) -> DataFrame:
+    """``place, shape, call, tool, final, messages``: sample rows as chats of three shapes.
+
+    A recall query and the recall response or silence at one place are one ``recall`` chat (system, user, call, tool, answer);
+    a compression is a ``compress`` chat and any other row a ``single`` one (system, user, answer). Missing turns are left out.
+    """
+    system = F.lit("Answer from the visible chunks only.")
+    turn = lambda role, c: F.when(c.isNotNull(), F.struct(F.lit(role).alias("role"), c.alias("content")))
+    kind, parts = F.col("kind"), F.col("kind").isin("recall_query", "recall_response", "recall_silent")
+    last = F.col("kind").isin("recall_response", "recall_silent")
+    g = rows.where(parts).groupBy(*place).agg(F.max("q").alias("q"), F.max("recall_result").alias("tool"), F.max(F.when(kind == "recall_query", F.col("output"))).alias("call"), F.max(F.when(last, F.col("output"))).alias("final"))
+    merged = g.where("call is not null and final is not null")
+    recall = merged.select(*place, F.lit("recall").alias("shape"), "call", "tool", "final", F.array_compact(F.array(turn("system", system), turn("user", F.col("q")), turn("assistant", F.col("call")), turn("tool", F.col("tool")), turn("assistant", F.col("final")))).alias("messages"))
+    rest = rows.where(parts).join(merged.select(*place), place, "left_anti").unionByName(rows.where(~F.coalesce(parts, F.lit(False))))
+    none = F.lit(None).cast("string")
+    single = rest.select(*place, F.when(kind == "compress", "compress").otherwise("single").alias("shape"), none.alias("call"), none.alias("tool"), F.col("output").alias("final"), F.array_compact(F.array(turn("system", system), turn("user", F.col("q")), turn("assistant", F.col("output")))).alias("messages"))
+    return recall.unionByName(single)
+
+
+def first_trajectory(rows: DataFrame, key: str, trajectory: str) -> DataFrame:
+    """The rows of each key's first trajectory, and those of none. The first ids are one row a key."""
+    none = F.coalesce(F.col(trajectory), F.lit("")) == ""
+    first = rows.where(~none).groupBy(key).agg(F.min(trajectory).alias("_t"))
+    return rows.join(first, key, "left").where(none | (F.col(trajectory) == F.col("_t"))).drop("_t")
+
+
 def probes(df: DataFrame, keys: list[str], options: str) -> DataFrame:
     """One row per option, lettered."""
     return df.select(*keys, F.posexplode(options).alias("i", "option")).withColumn("label", F.concat(F.char(F.lit(65) + F.col("i")), F.lit(". "), F.col("option")))

@@ -586,4 +586,4 @@ def agent_memory_batch(s, d):
     return memory.memory_batch(chunks, trigger=60, target=40, summary=4)
 
 
-from heddle.plans import checks, curation, scoring  # noqa: E402, F401  the other modules of the catalogue register themselves
+from heddle.plans import checks, curation, scoring, shaping  # noqa: E402, F401  the other modules of the catalogue register themselves
