@@ -2,39 +2,86 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from heddle.session import stage
+
+#: 64-bit words of a fingerprint.
+WORDS = 4
+#: Sets above this size saturate a fingerprint and also carry the hashes of their words.
+LONG = 256
+#: Sets of a group and band that one task compares with the others.
+PART = 2000
+#: Hash values of candidates' keys, and so the rows of the table of them that is broadcast.
+SLOTS = 1 << 20
 
-def similar_sets(df: DataFrame, group: str, key: str, words: Column, least: float = 0.8) -> DataFrame:
-    """``group, a, b, sim`` for each pair of different word sets of a group with Jaccard similarity ``least`` or more.
 
-    Equal sets of a group are one class, named by its least ``key``; membership is in ``set_classes``. Pairs are found by prefix
-    filtering: words are ordered by how rare they are in the whole table, and two sets that similar share one of their
-    first n - ceil(least n) + 1 words; lengths must agree too. Only those prefixes are shuffled, then the sets of the candidates
-    are compared exactly. No pair is lost and no group is compared pair by pair.
+def profiles(df: DataFrame, group: str, key: str, words: Column) -> DataFrame:
+    """``group, id, h, n, f0.., hs`` per row: digest, size, fingerprint and, above ``LONG`` words, word hashes of its set.
+
+    Bit i of the fingerprint is the parity of how many words hash to i, so two fingerprints differ in no more bits than their sets
+    differ in words. Null groups are left out. Words stay behind, so what later steps shuffle is small.
     """
-    classes = set_classes(df, group, key, words).where("class_id = id").select(group, "id", "words")
-    flat = classes.select(group, "id", F.explode("words").alias("w"))
-    rank = flat.groupBy("w").agg(F.count("*").alias("n"))
-    ordered = flat.join(rank, "w").groupBy(group, "id").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("o"))
-    n = F.size("o")
-    first = F.slice("o", 1, (n - F.ceil(F.lit(least) * n - 1e-9) + 1).cast("int"))
-    prefix = ordered.select(group, "id", n.alias("n"), F.explode(first).alias("w"))
-    left, right = prefix.select(group, F.col("id").alias("a"), F.col("n").alias("na"), "w"), prefix.select(group, F.col("id").alias("b"), F.col("n").alias("nb"), "w")
-    near = (F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9) & (F.col("a") < F.col("b"))
-    found = left.join(right, [group, "w"]).where(near).select(group, "a", "b").distinct()
-    sets = lambda x: classes.select(group, F.col("id").alias(x), F.col("words").alias(f"w{x}"))
-    sim = F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb"))
-    return found.join(sets("a"), [group, "a"]).join(sets("b"), [group, "b"]).withColumn("sim", sim).where(F.col("sim") >= least - 1e-9).select(group, "a", "b", "sim")
+    rows = df.where(F.col(group).isNotNull()).select(group, F.col(key).alias("id"), F.array_sort(F.array_distinct(words)).alias("words"))
+    rows = rows.select(group, "id", F.unhex(F.sha2(F.array_join("words", "\0"), 256)).alias("h"), F.size("words").alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("x"))
+
+    def part(j: int) -> Column:
+        flip = lambda acc, x: F.when(F.shiftrightunsigned(x, 6).bitwiseAND(WORDS - 1) == j, acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int")))).otherwise(acc)
+        return F.aggregate("x", F.lit(0).cast("long"), flip)
+
+    return rows.select(group, "id", "h", "n", *(part(j).alias(f"f{j}") for j in range(WORDS)), F.when(F.col("n") > LONG, F.array_distinct("x")).alias("hs"))
+
+
+def set_classes(rows: DataFrame, group: str) -> DataFrame:
+    """``profiles`` with ``class_id``: the least id among the group's rows with an equal set. Empty sets are left out."""
+    rows = rows.where("n > 0")
+    return rows.join(rows.groupBy(group, "h").agg(F.min("id").alias("class_id")), [group, "h"]).drop("h")
 
 
-def set_classes(df: DataFrame, group: str, key: str, words: Column) -> DataFrame:
-    """``group, id, words, class_id``: the least key among the group's rows with an equal set. Empty sets and null groups are left out."""
-    rows = df.select(group, F.col(key).alias("id"), F.array_sort(F.array_distinct(words)).alias("words")).where(F.col(group).isNotNull() & (F.size("words") > 0))
-    hashed = rows.withColumn("h", F.sha2(F.array_join("words", "\0"), 256))
-    return hashed.join(hashed.groupBy(group, "h").agg(F.min("id").alias("class_id")), [group, "h"]).drop("h")
+def candidates(classes: DataFrame, group: str, least: float) -> DataFrame:
+    """``group, a, b``: pairs of a group's classes whose sizes and fingerprints allow a Jaccard similarity of ``least``.
+
+    Sets that similar differ in (1 - least) / (1 + least) of their summed sizes at most, so no pair is lost. Sizes fall into bands so
+    wide that such sets lie in one band or in two neighbouring ones, and only these are compared. Within a band work grows
+    with the square of its sets, at a few machine instructions a pair; a band of over ``PART`` sets is cut into parts for tasks.
+    """
+    fp = [f"f{j}" for j in range(WORDS)]
+    band = F.floor(F.log("n") / math.log(1.001 / least)).cast("int")
+    one = classes.where("class_id = id").select(group, "id", "n", *fp, "hs", band.alias("k"))
+    hot = one.groupBy(group, "k").agg(F.count("*").alias("m")).where(F.col("m") > PART).select(group, "k", F.ceil(F.col("m") / PART).cast("int").alias("parts"))  # at most rows / PART
+    tasks = int(one.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = F.coalesce("parts", F.lit(1))
+    cut = lambda x, part: x.join(F.broadcast(hot), [group, "k"], "left").withColumn("p", part).drop("parts").repartition(tasks, group, "k", "p")
+    left = cut(one, F.pmod(F.xxhash64("id"), parts).cast("int")).select(group, "k", "p", *(F.col(c).alias(f"l_{c}") for c in ("id", "n", *fp, "hs")))
+    right = cut(one.withColumn("k", F.explode(F.array(F.col("k"), F.col("k") - 1))), F.explode(F.sequence(F.lit(0), parts - 1)))
+    n, ln = F.col("n"), F.col("l_n")
+    ordered = (ln < n) | ((ln == n) & (F.col("l_id") < F.col("id")))
+    apart = sum((F.bit_count(F.col(f"l_{c}").bitwiseXOR(F.col(c))) for c in fp), F.lit(0))
+    may = (ln >= least * n - 1e-6) & (apart <= (1 - least) / (1 + least) * (n + ln) + 1e-6)
+    # words that share a hash take from what two lists of hashes have in common no more than the longer list lacks
+    long = F.size(F.array_intersect("l_hs", "hs")) + (n - F.size("hs")) + 1e-6 >= least / (1 + least) * (n + ln) - 1e-6
+    found = left.join(right, [group, "k", "p"]).where(ordered & may & F.when(ln > LONG, long).otherwise(True))
+    return found.select(group, F.least("l_id", "id").alias("a"), F.greatest("l_id", "id").alias("b"))
+
+
+def similar_sets(df: DataFrame, group: str, key: str, words: Column, least: float = 0.8, *, classes: DataFrame | None = None) -> DataFrame:
+    """``group, a, b, sim`` for each pair of different word sets of a group with Jaccard similarity ``least`` or more.
+
+    Equal sets of a group are one class, named by its least ``key``; ``classes`` takes those of ``set_classes`` if they are there
+    already. Candidates are found by their fingerprints, then their word sets are compared exactly. Only rows whose key hashes to
+    a slot of a candidate are cut into words and shuffled.
+    """
+    found = stage(candidates(set_classes(profiles(df, group, key, words), group) if classes is None else classes, group, least), "candidates")
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).alias("slot")
+    taken = F.broadcast(found.select(F.explode(F.array("a", "b")).alias("id")).select(slot("id")).distinct())
+    asked = df.where(F.col(group).isNotNull()).withColumn("slot", slot(key)).join(taken, "slot", "left_semi")
+    sets = lambda x: asked.select(F.col(key).alias(x), F.array_distinct(words).alias(f"w{x}"))
+    sim = F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb"))
+    return found.join(sets("a"), "a").join(sets("b"), "b").withColumn("sim", sim).where(F.col("sim") >= least - 1e-9).select(group, "a", "b", "sim")
 
 
 def links(pairs: DataFrame, classes: DataFrame, group: str) -> DataFrame:

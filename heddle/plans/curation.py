@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from heddle.functions import text
 from heddle.operators import audit, cards, duplicates, sampling
 from heddle.plans.registry import CONV, CV, conversation_rows, query, r6
+from heddle.session import drop_stage, stage
 from heddle.session import table as t
 
 K = ", ".join(CONV)
@@ -23,7 +24,10 @@ pr AS (SELECT * FROM (SELECT a.video_id, a.class_id AS a, b.class_id AS b, len(l
 def _sets(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = t(s, d, "documents", "doc_id", "video_id", "text").where("text is not null")
     words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1)
-    return duplicates.set_classes(docs, "video_id", "doc_id", words), duplicates.similar_sets(docs, "video_id", "doc_id", words, 0.8)
+    rows = stage(duplicates.profiles(docs, "video_id", "doc_id", words), "profiles")
+    classes = stage(duplicates.set_classes(rows, "video_id"), "classes")
+    drop_stage(rows)
+    return classes, duplicates.similar_sets(docs, "video_id", "doc_id", words, 0.8, classes=classes)
 
 
 @query(f"""WITH {SETS}, m AS (SELECT a, count(*) AS n, max(sim) AS best FROM pr GROUP BY 1) SELECT doc_id, class_id, coalesce(n, 0)::BIGINT AS n_links, round(coalesce(best, 0), 6) AS best FROM dc LEFT JOIN m ON a = class_id""")
@@ -42,7 +46,7 @@ def _decided(s: SparkSession, d: str) -> DataFrame:
     classes, pairs = _sets(s, d)
     docs = t(s, d, "documents", "doc_id", "video_id", "n_chars").withColumn("n", F.coalesce("n_chars", F.lit(-1).cast("long")))
     rows = docs.join(classes.select(F.col("id").alias("doc_id"), "class_id"), "doc_id", "left")
-    lost = duplicates.losers(pairs, rows.where("class_id is not null"), "doc_id", F.col("n"))
+    lost = stage(duplicates.losers(pairs, rows.where("class_id is not null"), "doc_id", F.col("n")), "losers")
     return duplicates.decide(rows, lost, "video_id", "doc_id", [F.desc("n")])
 
 
