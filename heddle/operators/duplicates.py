@@ -86,7 +86,8 @@ def similar_sets(df: DataFrame, group: str, key: str, words: Column, least: floa
 
 def links(pairs: DataFrame, classes: DataFrame, group: str) -> DataFrame:
     """``id, class_id, n_links, best, partner`` per row: how many other classes its class is like, and the most similar one."""
-    both = pairs.select(group, F.col("a").alias("class_id"), F.col("b").alias("other"), "sim").unionByName(pairs.select(group, F.col("b").alias("class_id"), F.col("a").alias("other"), "sim"))
+    side = lambda x, y: F.struct(F.col(x).alias("class_id"), F.col(y).alias("other"))
+    both = pairs.select(group, "sim", F.explode(F.array(side("a", "b"), side("b", "a"))).alias("p")).select(group, "p.*", "sim")
     best = both.groupBy(group, "class_id").agg(F.count("*").alias("n_links"), F.max(F.struct("sim", (-F.col("other")).alias("p"))).alias("m"))
     out = classes.join(best, [group, "class_id"], "left")
     return out.select("id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("m.sim", F.lit(0.0)).alias("best"), (-F.col("m.p")).alias("partner"))

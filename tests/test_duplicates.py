@@ -30,7 +30,7 @@ def folder(spark, tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["curation_report", "dedup_decision_richest"])
+@pytest.mark.parametrize("name", ["curation_report", "dedup_decision_richest", "semantic_near_dup"])
 def test_large_origin(spark, folder, name):
     import duckdb
 
