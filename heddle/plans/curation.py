@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,19 +21,20 @@ dc AS (SELECT doc_id, video_id, w, min(doc_id) OVER (PARTITION BY video_id, w) A
 pr AS (SELECT * FROM (SELECT a.video_id, a.class_id AS a, b.class_id AS b, len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) AS sim FROM rp a JOIN rp b ON a.video_id = b.video_id AND a.class_id <> b.class_id AND least(len(a.w), len(b.w)) >= 0.8 * greatest(len(a.w), len(b.w)) - 1e-9) WHERE sim >= 0.8 - 1e-9)"""
 
 
-def _sets(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = t(s, d, "documents", "doc_id", "video_id", "text").where("text is not null")
+def _classes(s: SparkSession, d: str, rank: Column | None = None) -> tuple[DataFrame, tuple]:
+    """The classes of documents with equal word sets, and what to compare sets by."""
+    docs = t(s, d, "documents", "doc_id", "video_id", "text", "n_chars").where("text is not null")
     words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1)
-    rows = stage(duplicates.profiles(docs, "video_id", "doc_id", words), "profiles")
+    rows = stage(duplicates.profiles(docs, "video_id", "doc_id", words, rank), "profiles")
     classes = stage(duplicates.set_classes(rows, "video_id"), "classes")
     drop_stage(rows)
-    return classes, duplicates.similar_sets(docs, "video_id", "doc_id", words, 0.8, classes=classes)
+    return classes, (docs, "video_id", "doc_id", words)
 
 
 @query(f"""WITH {SETS}, m AS (SELECT a, count(*) AS n, max(sim) AS best FROM pr GROUP BY 1) SELECT doc_id, class_id, coalesce(n, 0)::BIGINT AS n_links, round(coalesce(best, 0), 6) AS best FROM dc LEFT JOIN m ON a = class_id""")
 def semantic_near_dup(s, d):
-    classes, pairs = _sets(s, d)
-    return duplicates.links(pairs, classes, "video_id").select(F.col("id").alias("doc_id"), "class_id", "n_links", r6("best").alias("best"))
+    classes, by = _classes(s, d)
+    return duplicates.links(duplicates.similar_sets(*by, 0.8, classes=classes), classes, "video_id").select(F.col("id").alias("doc_id"), "class_id", "n_links", r6("best").alias("best"))
 
 
 DECIDED = f"""{SETS}, ra AS (SELECT d.doc_id, d.video_id, coalesce(n_chars, -1) AS n, class_id FROM documents d LEFT JOIN dc USING (doc_id)), cr AS (SELECT class_id, max(n) AS r FROM ra WHERE class_id IS NOT NULL GROUP BY 1),
@@ -43,11 +44,10 @@ de AS (SELECT doc_id, coalesce(dd, CASE WHEN video_id IS NULL OR row_number() OV
 
 
 def _decided(s: SparkSession, d: str) -> DataFrame:
-    classes, pairs = _sets(s, d)
-    docs = t(s, d, "documents", "doc_id", "video_id", "n_chars").withColumn("n", F.coalesce("n_chars", F.lit(-1).cast("long")))
-    rows = docs.join(classes.select(F.col("id").alias("doc_id"), "class_id"), "doc_id", "left")
-    lost = stage(duplicates.losers(pairs, rows.where("class_id is not null"), "doc_id", F.col("n")), "losers")
-    return duplicates.decide(rows, lost, "video_id", "doc_id", [F.desc("n")])
+    n = F.coalesce("n_chars", F.lit(-1).cast("long"))
+    classes, by = _classes(s, d, n)
+    rows = t(s, d, "documents", "doc_id", "video_id", "n_chars").withColumn("n", n).join(classes.select(F.col("id").alias("doc_id"), "class_id"), "doc_id", "left")
+    return duplicates.decide(rows, duplicates.losers(*by, classes), "video_id", "doc_id", [F.desc("n")])
 
 
 @query(f"WITH {DECIDED} SELECT doc_id, decision FROM de")
