@@ -1,7 +1,10 @@
 """Problems 1 to 8 on small tables: brute force, nulls, ties, repeats, empty tables and extra columns."""
 
+import contextlib
 import datetime as dt
+import os
 import random
+import threading
 
 import numpy as np
 import pandas as pd
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 
 from heddle.llm import abuse, conversations, group_split, leakage, packing, pair_defects, quota_sample, truncation
 from heddle.llm.queries import default_vocabulary
+from heddle.session import shared_dir
 
 NOW = dt.datetime(2024, 5, 1)
 SAMPLES = "sample_id long, video_id string, trajectory_id string, card_id string, chunk_idx int, sample_type string, user_input string, output string, recall_result string, logged_at timestamp_ntz, key string"
@@ -131,6 +135,53 @@ def test_no_conversations(spark, tmp_path):
     assert conversations.rebuild(conversations.closed_parts(spark, path)).count() == 0
 
 
+def test_replay_keeps_little_on_disk(spark, tmp_path):
+    """State and parts at their peak, shuffles aside; afterwards only the parts are left."""
+    rng, path, folder = random.Random(3), str(tmp_path / "s.parquet"), f"{shared_dir(spark)}/heddle".removeprefix("file:")
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(300)]
+    said = lambda: f"<answer>{' '.join(rng.choices(words, k=9))}</answer>"
+    rows = [sample(i, i % 40, "response", "Q?", said(), at=rng.randint(0, 9_000_000), card=f"c{i % 997}") for i in range(60_000)]
+    spark.createDataFrame(rows, SAMPLES).coalesce(3).write.parquet(path)
+    size = lambda at, part="": sum(os.path.getsize(f"{d}/{f}") for d, _, fs in os.walk(at) if part in d for f in fs if os.path.exists(f"{d}/{f}"))
+    before, peak, over = set(os.listdir(folder)) if os.path.exists(folder) else set(), [0], threading.Event()
+    own = lambda: [f"{folder}/{x}" for x in (os.listdir(folder) if os.path.exists(folder) else []) if x not in before and x.startswith("conversations")]
+
+    def watch():
+        while not over.wait(0.02):
+            with contextlib.suppress(OSError):
+                peak[0] = max(peak[0], sum(map(size, own())))
+
+    thread = threading.Thread(target=watch)
+    thread.start()
+    try:
+        found = conversations.closed_parts(spark, path)
+    finally:
+        over.set()
+        thread.join()
+    assert found.selectExpr("sum(size(rows))").first()[0] == 60_000
+    left = {k: sum(size(x, k) for x in own()) / size(path) for k in ("/state", "/parts")}
+    assert (left["/state"], left["/parts"] < 1, peak[0] / size(path) < 2) == (0, True, True), (left, peak[0] / size(path))
+
+
+def test_replay_takes_any_clock(spark, tmp_path):
+    """One row logged in 9999 or before 1970 keeps no session open and loses none."""
+    for year in (9999, 1801):
+        path = str(tmp_path / f"{year}.parquet")
+        odd = (*sample(3, 1, "response", "Q?", "<answer>yes</answer>", card="odd")[:9], dt.datetime(year, 12, 30), "clash")
+        spark.createDataFrame([sample(1, 1, "silent", "Q?", "", card="usual"), odd], SAMPLES).write.parquet(path)
+        got = conversations.verdicts(conversations.closed_parts(spark, path)).collect()
+        assert {r.card_id: r.reason for r in got} == {"usual": "unanswered", "odd": None}
+
+
+def test_mark_of_the_end_waits_for_all_batches(spark, tmp_path):
+    path = str(tmp_path / "s.parquet")
+    for i in range(4):
+        spark.createDataFrame([sample(i, i, "silent" if i < 3 else "response", "Q?", "<answer>yes</answer>", at=9 * i)], SAMPLES).coalesce(1).write.mode("append").parquet(path)
+    stream = conversations.ConversationStream(spark, "1 hour", "1 hour")
+    stream.run(path, files_per_batch=1, closed=True)
+    assert stream.parts().selectExpr("sum(size(rows))").first()[0] == 4 and stream.late_rows(path).count() == 0
+
+
 # 3
 
 EVIDENCE = "video_id string, chunk_idx int, attempt int, _raw string, source string, n int"
